@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernal.llm import op02_minhash, op08_quality
+from quernal.llm import op02_minhash, op08_quality, op10_suffix
 from quernal.session import table
 
 
@@ -18,8 +18,12 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return op08_quality.measure(table(spark, folder, "documents"))
 
 
+def op10_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return op10_suffix.repeats(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_minhash_near_dedup, op8_quality_rules)}
+    return {f.__name__: f for f in (op2_minhash_near_dedup, op8_quality_rules, op10_suffix_array_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
