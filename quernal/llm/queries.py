@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernal.llm import op02_minhash, op08_quality, op10_suffix
+from quernal.llm import op02_minhash, op03_decontam, op08_quality, op10_suffix
 from quernal.session import table
 
 
@@ -14,6 +14,10 @@ def op2_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return op02_minhash.groups(table(spark, folder, "documents"))
 
 
+def op3_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return op03_decontam.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return op08_quality.measure(table(spark, folder, "documents"))
 
@@ -23,7 +27,7 @@ def op10_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_minhash_near_dedup, op8_quality_rules, op10_suffix_array_dedup)}
+    return {f.__name__: f for f in (op2_minhash_near_dedup, op3_benchmark_decontamination, op8_quality_rules, op10_suffix_array_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
