@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernal.llm import op02_minhash, op03_decontam, op08_quality, op10_suffix
+from quernal.llm import op02_minhash, op03_decontam, op04_secrets, op08_quality, op10_suffix
 from quernal.session import table
 
 
@@ -26,8 +26,12 @@ def op10_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return op10_suffix.repeats(table(spark, folder, "documents"))
 
 
+def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return op04_secrets.findings(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_minhash_near_dedup, op3_benchmark_decontamination, op8_quality_rules, op10_suffix_array_dedup)}
+    return {f.__name__: f for f in (op2_minhash_near_dedup, op3_benchmark_decontamination, op4_secret_scan, op8_quality_rules, op10_suffix_array_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
