@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernal.llm import op02_minhash, op03_decontam, op04_secrets, op05_sharding, op08_quality, op10_suffix
+from quernal.llm import op02_minhash, op03_decontam, op04_secrets, op05_sharding, op08_quality, op09_packing, op10_suffix
 from quernal.session import table
 
 
@@ -34,8 +34,12 @@ def op5_extendible_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return op05_sharding.place(table(spark, folder, "documents"))
 
 
+def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return op09_packing.windows(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_minhash_near_dedup, op3_benchmark_decontamination, op4_secret_scan, op5_extendible_sharding, op8_quality_rules, op10_suffix_array_dedup)}
+    return {f.__name__: f for f in (op2_minhash_near_dedup, op3_benchmark_decontamination, op4_secret_scan, op5_extendible_sharding, op8_quality_rules, op9_packing, op10_suffix_array_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
