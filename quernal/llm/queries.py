@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernal.llm import op02_minhash, op03_decontam, op04_secrets, op05_sharding, op07_warc, op08_quality, op09_packing, op10_suffix
+from quernal.llm import op02_minhash, op03_decontam, op04_secrets, op05_sharding, op06_urls, op07_warc, op08_quality, op09_packing, op10_suffix
 from quernal.session import table
 
 
@@ -42,8 +42,12 @@ def op7_warc_reassembly(spark: SparkSession, folder: str) -> DataFrame:
     return op07_warc.round_trip(table(spark, folder, "pages"))
 
 
+def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return op06_urls.score_urls(table(spark, folder, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_minhash_near_dedup, op3_benchmark_decontamination, op4_secret_scan, op5_extendible_sharding, op7_warc_reassembly, op8_quality_rules, op9_packing, op10_suffix_array_dedup)}
+    return {f.__name__: f for f in (op2_minhash_near_dedup, op3_benchmark_decontamination, op4_secret_scan, op5_extendible_sharding, op6_url_filter, op7_warc_reassembly, op8_quality_rules, op9_packing, op10_suffix_array_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
