@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernal.llm import op02_minhash, op03_decontam, op04_secrets, op05_sharding, op06_urls, op07_warc, op08_quality, op09_packing, op10_suffix
+from quernal.llm import op01_chat, op02_minhash, op03_decontam, op04_secrets, op05_sharding, op06_urls, op07_warc, op08_quality, op09_packing, op10_suffix
 from quernal.session import table
 
 
@@ -46,9 +46,13 @@ def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return op06_urls.score_urls(table(spark, folder, "pages"))
 
 
+def op1_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    return op01_chat.flatten(op01_chat.typed(table(spark, folder, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_minhash_near_dedup, op3_benchmark_decontamination, op4_secret_scan, op5_extendible_sharding, op6_url_filter, op7_warc_reassembly, op8_quality_rules, op9_packing, op10_suffix_array_dedup)}
+    return {f.__name__: f for f in (op1_chat_format, op2_minhash_near_dedup, op3_benchmark_decontamination, op4_secret_scan, op5_extendible_sharding, op6_url_filter, op7_warc_reassembly, op8_quality_rules, op9_packing, op10_suffix_array_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_warc_reassembly": op07_warc.oracle(), "op5_extendible_sharding": op05_sharding.oracle(), "op8_quality_rules": op08_quality.oracle()}
+    return {"op1_chat_format": op01_chat.oracle(), "op7_warc_reassembly": op07_warc.oracle(), "op5_extendible_sharding": op05_sharding.oracle(), "op8_quality_rules": op08_quality.oracle()}
