@@ -35,6 +35,8 @@ SHINGLE = 3
 SIDES = 10
 ROWS = 3
 THRESHOLD = 0.6
+#: So many ids, 8 bytes each, may be broadcast.
+BROADCAST_IDS = 1 << 20
 _SEEDS = np.random.default_rng(7).integers(0, 2**63, 2 * SIDES * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SALTS = np.random.default_rng(8).integers(0, 2**63, 2 * SIDES, dtype=np.uint64)
 
@@ -96,10 +98,14 @@ def _sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), s], names=["doc_id", "shingles"])
 
 
-def _alike(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose exact similarity reaches THRESHOLD. Only texts of candidates are shingled."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "doc_id bigint, shingles array<bigint>")
+def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id is in ids. Up to BROADCAST_IDS ids go to the rows, else both are shuffled."""
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+
+
+def _alike(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose exact similarity reaches THRESHOLD."""
+    sets = _only(sets, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
@@ -134,30 +140,34 @@ def groups(docs: DataFrame) -> DataFrame:
     ship(spark)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
     signed = texts.withColumn("text_hash", F.unhex(F.md5("text"))).mapInArrow(_signed, "doc_id bigint, text_hash binary, sides array<bigint>")
-    signed = signed.withColumn("first_id", F.min("doc_id").over(Window.partitionBy("text_hash")))
-    signed = cut(signed.select("doc_id", "first_id", "sides"))
+    same = Window.partitionBy("text_hash")
+    signed = signed.withColumns({"first_id": F.min("doc_id").over(same), "turn": F.row_number().over(same.orderBy("doc_id"))})
+    signed = cut(signed.select("doc_id", "first_id", "turn", "sides"))
     copies = signed.filter("doc_id > first_id").select(F.col("first_id").alias("a"), F.col("doc_id").alias("b"))
 
     pair = F.sequence(F.lit(0), F.lit(SIDES * SIDES - 1))
     key = F.explode(F.transform(pair, lambda k: F.xxhash64(k, F.col("sides")[(k / SIDES).cast("int")], F.col("sides")[k % SIDES + SIDES])))
-    keys = signed.filter("doc_id = first_id and sides[0] <> 0").select("doc_id", key.alias("key")).distinct()
+    keys = signed.filter("turn = 1 and sides[0] <> 0").select("doc_id", key.alias("key"))
     bucket = Window.partitionBy("key")
-    met = keys.withColumns({"lead": F.min("doc_id").over(bucket), "n": F.count("*").over(bucket)}).filter("n > 1").select("key", "doc_id", "lead")
-    met = cut(met)
+    met = cut(keys.withColumn("lead", F.min("doc_id").over(bucket)).withColumn("last", F.max("doc_id").over(bucket)).filter("lead <> last").select("key", "doc_id", "lead"))
+    sets = cut(_only(texts, met.select("doc_id").distinct()).mapInArrow(_sets, "doc_id bigint, shingles array<bigint>"))
     pairs = met.filter("doc_id > lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
+    met = met.drop("lead")
     tried, edges, rounds = None, None, 0
     while True:
         pairs = cut(pairs)
-        good = cut(_alike(texts, pairs))
-        found = good.count()
+        good = cut(_alike(sets, pairs))
         tried = pairs if tried is None else tried.union(pairs)
         edges = good if edges is None else edges.union(good)
-        if not found:
+        if good.isEmpty():
             break
         rounds += 1
         label = components(edges)
         seen = met.join(label, "doc_id", "left").select("key", "doc_id", F.coalesce("group", "doc_id").alias("group"))
-        one = seen.groupBy("key", "group").agg(F.min_by("doc_id", F.xxhash64("key", "doc_id", F.lit(rounds))).alias("doc_id"))
+        mixed = seen.withColumns({"lo": F.min("group").over(bucket), "hi": F.max("group").over(bucket)}).filter("lo <> hi").select("key", "doc_id", "group")
+        mixed = cut(mixed)
+        met = mixed.select("key", "doc_id")
+        one = mixed.groupBy("key", "group").agg(F.min_by("doc_id", F.xxhash64("key", "doc_id", F.lit(rounds))).alias("doc_id"))
         turn = F.xxhash64("key", "group", F.lit(rounds))
         lead = one.withColumn("lead", F.min_by("doc_id", turn).over(bucket)).filter("doc_id <> lead")
         ordered = lead.select(F.least("doc_id", "lead").alias("a"), F.greatest("doc_id", "lead").alias("b")).distinct()

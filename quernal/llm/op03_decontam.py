@@ -39,7 +39,7 @@ from quernal.session import cut, ship
 COLUMNS = 1 << 16
 ITEMS = 4096
 PASSAGE = 64
-MAX_DF = 0.02
+MAX_DF = 0.005
 MIN_TERMS = 4
 RANK, EXTRA = 192, 16
 TILE = 16
@@ -166,22 +166,50 @@ def lcs(a: list[int], masks: dict[int, int], size: int) -> int:
     return size - v.bit_count()
 
 
-def matched(text: np.ndarray, item: np.ndarray, masks: dict[int, int], answer: frozenset, tiles: Iterator[int]) -> tuple[int, bool, bool]:
-    """The best (common words, verbatim, accepted) over the stretches of `text` that begin at the given tiles."""
-    n = len(item)
+def possible(part: np.ndarray, kinds: np.ndarray, counts: np.ndarray, starts: np.ndarray, span: int) -> np.ndarray:
+    """Which stretches part[s : s + span] share enough words with the item, order aside: a bound on the subsequence."""
+    least = PARAPHRASE * counts.sum()
+    k = np.searchsorted(kinds, part)
+    k[k == len(kinds)] = 0
+    hit = np.flatnonzero(kinds[k] == part)
+    k = k[hit]
+    if np.minimum(np.bincount(k, minlength=len(kinds)), counts).sum() < least:
+        return np.zeros(len(starts), dtype=bool)
+    seen = np.zeros((len(hit) + 1, len(kinds)), np.int32)
+    seen[np.arange(1, len(hit) + 1), k] = 1
+    np.cumsum(seen, axis=0, out=seen)
+    some = seen[np.searchsorted(hit, starts + span)] - seen[np.searchsorted(hit, starts)]
+    return np.minimum(some, counts).sum(axis=1) >= least
+
+
+def matched(text: np.ndarray, item: "Item", tiles: list[int]) -> tuple[int, bool, bool]:
+    """The best (common words, verbatim, accepted) over the stretches of `text` that begin at the given tiles, in ascending order."""
+    n = item.size
     span = math.ceil(STRETCH * n) + TILE
     best = (0, False, False)
-    for t in tiles:
-        part = text[t * TILE : t * TILE + span].tolist()
-        common = lcs(part, masks, n)
+    lo = tiles[0] * TILE
+    region = text[lo : tiles[-1] * TILE + span]
+    starts = np.array(tiles) * TILE - lo
+    for s in starts[possible(region, item.kinds, item.counts, starts, span)].tolist():
+        part = region[s : s + span].tolist()
+        common = lcs(part, item.masks, n)
         near = common >= NEAR * n
-        ok = near or common >= PARAPHRASE * n and 2 * len(answer & set(part)) >= len(answer)
+        ok = near or common >= PARAPHRASE * n and 2 * len(item.answer & set(part)) >= len(item.answer)
         best = max(best, (common, near, ok), key=lambda b: (b[2], b[0]))
         if common == n:
             break
     return best
 
 
+class Item:
+    """An item ready for checks."""
+
+    def __init__(self, words: np.ndarray, answer: frozenset) -> None:
+        self.size, self.answer = len(words), answer
+        self.kinds, self.counts = np.unique(words, return_counts=True)
+        self.masks = masks_of(words)
+
+
 def masks_of(item: np.ndarray) -> dict[int, int]:
     out: dict[int, int] = {}
     for k, h in enumerate(item.tolist()):
@@ -194,7 +222,7 @@ def _search(items: Items, weight: np.ndarray, basis: np.ndarray, queries: np.nda
     latent = (basis * weight[:, None]).astype(np.float32)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        masks = [masks_of(w) for w in items.words]
+        ready = [Item(w, a) for w, a in zip(items.words, items.answers, strict=True)]
         for b in it:
             rows, found = [], []
             for x in blocks(b.column(1)):
@@ -219,7 +247,7 @@ def _search(items: Items, weight: np.ndarray, basis: np.ndarray, queries: np.nda
                 for (r, k), tiles in wanted.items():
                     text = h[first[r] : first[r + 1]]
                     last = first_tile[r + 1] - first_tile[r]
-                    common, near, ok = matched(text, items.words[k], masks[k], items.answers[k], (t for t in sorted(tiles) if 0 <= t < last))
+                    common, near, ok = matched(text, ready[k], sorted(t for t in tiles if 0 <= t < last))
                     if ok:
                         rows.append(r + x.first)
                         found.append((items.ids[k], common, len(items.words[k]), near))
