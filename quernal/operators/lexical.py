@@ -60,7 +60,8 @@ def score(docs: DataFrame, queries: DataFrame, key: str = "doc_id", k1: float =
 
 
 def _scored(postings: DataFrame, stats: DataFrame, wanted: DataFrame, k1: float, b: float) -> DataFrame:
-    df = postings.withColumn("df", F.count("*").over(Window.partitionBy("term"))).join(F.broadcast(stats))
+    # a count by term rather than a window: a term of all documents is combined map-side, and the counts are as few as query terms
+    df = postings.join(postings.groupBy("term").agg(F.count("*").alias("df")), "term").join(F.broadcast(stats))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return df.withColumn("part", part).select("term", "doc_id", "part").join(wanted, "term").groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from quernal.plans import entity_queries, retrieval_queries, text_queries, web_queries
+from quernal.plans.registry import Query
 
-from pyspark.sql import DataFrame, SparkSession
+_REGISTERS = [m.register for m in (text_queries, web_queries, entity_queries, retrieval_queries)]
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return {name: f for r in _REGISTERS for name, f in r.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for r in _REGISTERS for name, sql in r.sql.items()}
