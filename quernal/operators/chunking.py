@@ -11,7 +11,7 @@ from quernal.functions.text import strip, title_case
 
 HEADERS = ("document_title", "entity_name", "section", "item_name")
 SIZE, OVERLAP = 1500, 250
-SEPARATORS = ("\n\n", "\n", " ", "")
+SEPARATORS = tuple("\n\n|\n| |".split("|"))
 LEAST = 50
 
 

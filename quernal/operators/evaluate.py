@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-QUOTAS = {"Grupos": 20, "Pessoas": 70, "Projetos": 60, "Institucional": 20, "Estrategico": 30}
+QUOTAS = dict(Pessoas=70, Projetos=60, Estrategico=30, Grupos=20, Institucional=20)
 
 
 def category(c: Column) -> Column:

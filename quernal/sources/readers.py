@@ -7,7 +7,6 @@ import os
 from collections.abc import Callable, Iterator
 from functools import reduce
 from pathlib import Path
-from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -39,7 +38,7 @@ def load_config(path: str) -> dict:
     return found if isinstance(found, dict) else {}
 
 
-def setting(config: dict, *keys: str, default: Any = None) -> Any:
+def setting(config: dict, *keys: str, default: object = None):  # noqa: ANN201
     """A nested setting, the default where a level is missing."""
     for k in keys:
         if not isinstance(config, dict) or k not in config:

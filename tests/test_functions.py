@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quernal.functions import html, render, text, urls
 
-PAGE = """<html><head><title>Main {{x}} Title</title><meta property="og:title" content="Og"></head><body><h1>First</h1>
+PAGE = """<html><head><meta content="Og" property="og:title"><title>Main {{x}} Title</title></head><body><h1>First</h1>
 <nav class="navbar"><p>A paragraph of the navigation that is long enough.</p></nav><div class="body"><h2>Part one</h2>
 <p>The first paragraph is long enough.<p>Too short.</p><p>The first paragraph is long enough.</p><p>Another {{a}} long paragraph, kept.</p>
 <a href="/about">About</a><a href="https://other.org/x">Other</a><a href="#top">Top</a><a href="javascript:go()">Go</a><a href="/download-file/1">File</a><a href="../up">Up</a><img src="/i.png" alt="I"></div></body></html>"""
