@@ -9,8 +9,10 @@ need independently. With Jaccard similarity s a pair shares a key with probabili
 Texts that are equal byte for byte are grouped first, by MD5. Their representatives (the smallest doc_id) meet
 in tables: in each table key's bucket everyone is a candidate with the bucket's leader. Candidates are verified by
 the exact Jaccard similarity of their shingle sets, THRESHOLD at least. As a bucket may hold several groups,
-further rounds compare the groups that are left in a bucket by members drawn anew, until a round joins none: work
-is linear in the size of a bucket in each round, with no cap on partners. Groups are the connected components of
+further rounds compare the groups that are left in a bucket by members drawn anew, while they join any and more pairs
+are left than the buckets have rows. Then all pairs of documents that share a bucket but not yet a group are verified, but for those whose
+set sizes alone are too far apart; buckets over BLOCK documents are spread over cells of two blocks. So every pair that shares a key is compared
+or in one group. Groups are the connected components of
 verified pairs, by iterated hooking onto the smallest neighbour; the document with the smallest doc_id stays.
 
 Defined cases: rows with a null doc_id or null text are never compared and stay. Empty texts are equal to each other, texts
@@ -37,6 +39,8 @@ ROWS = 3
 THRESHOLD = 0.6
 #: So many ids, 8 bytes each, may be broadcast.
 BROADCAST_IDS = 1 << 20
+#: A bucket's pairs are made from blocks of about so many documents, two at a time.
+BLOCK = 1000
 _SEEDS = np.random.default_rng(7).integers(0, 2**63, 2 * SIDES * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SALTS = np.random.default_rng(8).integers(0, 2**63, 2 * SIDES, dtype=np.uint64)
 
@@ -113,6 +117,19 @@ def _alike(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter((F.size("sa") > 0) & enough).select("a", "b").distinct()
 
 
+def _across(mixed: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of documents of one bucket in two groups whose set sizes allow THRESHOLD."""
+    sizes = sets.groupBy("doc_id").agg(F.min(F.size("shingles")).alias("least"), F.max(F.size("shingles")).alias("most"))
+    blocks_ = F.ceil(F.count("*").over(Window.partitionBy("key")) / BLOCK).cast("bigint")
+    rows = mixed.join(sizes, "doc_id").withColumn("blocks", blocks_).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "group", "block", "least", "most")
+    left, right = (rows.select("key", "i", "j", *(F.col(c).alias(f"{side}_{c}") for c in ("doc_id", "group", "block", "least", "most"))) for side in "ab")
+    near = (F.col("a_most") >= THRESHOLD * F.col("b_least")) & (F.col("b_most") >= THRESHOLD * F.col("a_least"))
+    apart = F.expr("a_doc_id < b_doc_id and a_group <> b_group and (i = j or a_block <> b_block)")
+    return left.join(right, ["key", "i", "j"]).filter(apart & near).select(F.col("a_doc_id").alias("a"), F.col("b_doc_id").alias("b")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(doc_id, group): for each end of an edge (a, b) the smallest id of its connected component.
 
@@ -153,25 +170,32 @@ def groups(docs: DataFrame) -> DataFrame:
     sets = cut(_only(texts, met.select("doc_id").distinct()).mapInArrow(_sets, "doc_id bigint, shingles array<bigint>"))
     pairs = met.filter("doc_id > lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
     met = met.drop("lead")
+    enough = met.count()
     tried, edges, rounds = None, None, 0
     while True:
         pairs = cut(pairs)
         good = cut(_alike(sets, pairs))
         tried = pairs if tried is None else tried.union(pairs)
         edges = good if edges is None else edges.union(good)
-        if good.isEmpty():
-            break
+        joined = not good.isEmpty()
+        if joined or not rounds:
+            label = components(edges)
+            seen = met.join(label, "doc_id", "left").select("key", "doc_id", F.coalesce("group", "doc_id").alias("group"))
+            mixed = seen.withColumns({"lo": F.min("group").over(bucket), "hi": F.max("group").over(bucket)}).filter("lo <> hi").select("key", "doc_id", "group")
+            mixed = cut(mixed)
+            met = mixed.select("key", "doc_id")
         rounds += 1
-        label = components(edges)
-        seen = met.join(label, "doc_id", "left").select("key", "doc_id", F.coalesce("group", "doc_id").alias("group"))
-        mixed = seen.withColumns({"lo": F.min("group").over(bucket), "hi": F.max("group").over(bucket)}).filter("lo <> hi").select("key", "doc_id", "group")
-        mixed = cut(mixed)
-        met = mixed.select("key", "doc_id")
+        sizes = mixed.groupBy("key", "group").count().groupBy("key").agg(F.sum("count").alias("n"), F.sum(F.expr("double(count) * count")).alias("within"))
+        apart = sizes.agg(F.coalesce(F.sum(F.expr("(double(n) * n - within) / 2")), F.lit(0.0))).first()[0]
+        if not joined or apart <= enough:
+            break
         one = mixed.groupBy("key", "group").agg(F.min_by("doc_id", F.xxhash64("key", "doc_id", F.lit(rounds))).alias("doc_id"))
         turn = F.xxhash64("key", "group", F.lit(rounds))
         lead = one.withColumn("lead", F.min_by("doc_id", turn).over(bucket)).filter("doc_id <> lead")
         ordered = lead.select(F.least("doc_id", "lead").alias("a"), F.greatest("doc_id", "lead").alias("b")).distinct()
         pairs = ordered.join(tried, ["a", "b"], "left_anti")
+    pairs = cut(_across(mixed, sets).join(tried, ["a", "b"], "left_anti"))
+    edges = edges.union(cut(_alike(sets, pairs)))
     return components(edges.union(copies)).filter("doc_id <> group").select("doc_id", F.col("group").alias("duplicate_of"))
 
 

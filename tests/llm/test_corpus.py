@@ -40,6 +40,37 @@ def test_near_dedup_bucket_of_several_groups(spark):
     assert len(got & want) >= 0.9 * len(want)
 
 
+def template_texts():
+    """Texts that share a template just below THRESHOLD, and after them pairs that share a little more and reach it."""
+    shared = h.text(100, 1)
+    out = [f"{shared} {h.text(33, s)}" for s in range(10, 50)]
+    for s in range(20):
+        out += [f"{shared} {h.text(4, 100 + s)} {h.text(29, 200 + 2 * s + k)}" for k in range(2)]
+    return out
+
+
+def test_near_dedup_compares_all_pairs_of_a_bucket(spark, monkeypatch):
+    """Near copies in buckets whose leaders are all below THRESHOLD, in one block and in several."""
+    import numpy as np
+    import pyarrow as pa
+    from quernal.llm.words import blocks
+
+    texts = template_texts()
+    signs = np.concatenate([op02_minhash.sides(b) for b in blocks(pa.array(texts))])
+    to = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            same = signs[a] == signs[b]
+            if same[: op02_minhash.SIDES].any() and same[op02_minhash.SIDES :].any() and h.jaccard(texts[a], texts[b]) >= op02_minhash.THRESHOLD:
+                lo, hi = sorted((to[a], to[b]))
+                to = [lo if x == hi else x for x in to]
+    want = {(i, g) for i, g in enumerate(to) if i != g}
+    assert len(want) >= 10
+    for size in (op02_minhash.BLOCK, 7):
+        monkeypatch.setattr(op02_minhash, "BLOCK", size)
+        assert {tuple(r) for r in op02_minhash.groups(docs(spark, texts)).collect()} == want
+
+
 def test_near_dedup_odd_rows(spark):
     rows = h.odd(spark, [(9, "a b c d e f"), (9, "a b c d e f"), (10, "a b c d e f"), (None, "a b c d e f")])
     assert {tuple(r) for r in op02_minhash.groups(rows).collect()} == {(10, 9)}
