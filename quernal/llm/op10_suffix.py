@@ -1,13 +1,11 @@
-"""Suffix-array dedup: repeated passages of LENGTH words or more, within and across documents.
+"""Suffix-array dedup without the array: repeated passages of LENGTH words or more, within and across documents.
 
-Difference-cover blockwise construction. DIFFERENCES is a difference cover modulo V: for any two word positions
+A difference cover as prefilter of hashed passages. DIFFERENCES is a difference cover modulo V: for any two word positions
 i and j some delta < V makes both i + delta and j + delta sample positions. So two passages that agree on LENGTH words hold a pair of
-sample suffixes that agree on DEPTH = LENGTH - V + 1 words. The sample, a fifth of the suffixes, is sorted first, one bucket of leading
-words at a time (a task holds one range of prefix hashes), and given ranks: equal prefixes have one rank, and a prefix that
-occurs once gets none. A suffix can tie with another for LENGTH words only if it reaches a ranked sample suffix within V words; these suffixes alone go on
-to the second sort, again a bucket at a time, by their first LENGTH words; those that tie are the repeats. Neither
-sort ever holds a text, and memory is bounded by a bucket. Order inside a bucket is by hash of the leading words: any fixed order
-of words puts equal prefixes side by side.
+sample suffixes that agree on DEPTH = LENGTH - V + 1 words. The sample, a fifth of the suffixes, is
+counted first, by hashes of DEPTH words; those that occur once drop out. A suffix can agree with another for LENGTH words only if it reaches a
+sample suffix that is left within V words; these suffixes alone are counted by hashes of their first LENGTH words, and those
+that occur again are the repeats. Neither step holds a text, nothing is sorted by words, and no ranks are made.
 
 Words are runs between ASCII white space, compared as they are. The result has a row for each maximal span of repeated
 words of a document: doc_id, start_word, n_words, and copies: how many places hold the span's most frequent LENGTH words.
