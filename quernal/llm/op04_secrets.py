@@ -7,7 +7,7 @@ expression tried, anchored at the keyword (`before` bytes ahead of it at most),
 * an AWS key id's letters after its prefix are base 32 and hold an account number of twelve digits at most;
 * a JSON web token's first part is base64url of a JSON object with "alg";
 * a PyPI token is base64 that begins with a macaroon of pypi.org;
-* a PEM private key's body is base64, and if DER its outer length fits;
+* a PEM private key's body is base64, and if DER its outer length fits; its line ends may be escaped, as in JSON;
 * a value assigned to a name like token, secret, password or api_key has no checksum; it counts if it has LEAST_BITS bits of Shannon entropy a character over
   16 characters or more, and both letters and digits.
 
@@ -15,6 +15,9 @@ A result row has doc_id, rule, start (code points, from 0), length, checksum ('v
 the SHA-256 of the secret, never the secret. Matches with a failed checksum are reported as 'invalid' and left in the text by `redact`. Where
 findings overlap the one that begins first stays, then the longest, then the first rule.
 
+Names, values, tokens and key bodies may be of any length. A try costs time linear in what follows the hit, so a long value that is full of keywords
+costs its length times their number.
+
 Defined cases: null and empty texts have no findings; null doc_ids are carried through; repeated rows are scanned each for itself; an
 empty table gives an empty result. `redact` replaces valid and checksum-less findings by [SECRET:rule] and keeps all
 rows and columns; where docs has a column n_chars of whole numbers that gives the text's length, it follows the new text.
@@ -88,7 +91,7 @@ def _pypi(secret: bytes) -> str:
 
 
 def _pem(secret: bytes) -> str:
-    lines = [x.strip() for x in secret.splitlines()[1:-1] if x.strip() and b":" not in x]
+    lines = [x.strip() for x in re.sub(rb"\\+[rn]", b"\n", secret).splitlines()[1:-1] if x.strip() and b":" not in x]
     try:
         raw = base64.b64decode(b"".join(lines), validate=True)
     except ValueError:
@@ -122,15 +125,15 @@ RULES = (
     Rule("github-token", (b"ghp_", b"gho_", b"ghu_", b"ghs_", b"ghr_"), re.compile(rb"gh[pousr]_[A-Za-z0-9]{36}" + _END), _crc),
     Rule("github-fine-grained", (b"github_pat_",), re.compile(rb"github_pat_[A-Za-z0-9]{22}_[A-Za-z0-9]{59}" + _END), lambda s: "none"),
     Rule("npm-token", (b"npm_",), re.compile(rb"npm_[A-Za-z0-9]{36}" + _END), _crc),
-    Rule("gitlab-token", (b"glpat-",), re.compile(rb"glpat-[A-Za-z0-9_-]{20,64}" + _END), lambda s: "none"),
+    Rule("gitlab-token", (b"glpat-",), re.compile(rb"glpat-[A-Za-z0-9_-]{20,}+"), lambda s: "none"),
     Rule("aws-access-key", (b"akia", b"asia"), re.compile(rb"(?:AKIA|ASIA)[A-Z2-7]{16}" + _END), _aws),
     Rule("google-api-key", (b"aiza",), re.compile(rb"AIza[A-Za-z0-9_-]{35}" + _END), lambda s: "none"),
-    Rule("slack-token", (b"xoxb-", b"xoxp-", b"xoxa-", b"xoxr-", b"xoxs-"), re.compile(rb"xox[baprs]-[A-Za-z0-9-]{20,255}" + _END), lambda s: "none"),
-    Rule("stripe-key", (b"sk_live_", b"rk_live_", b"sk_test_"), re.compile(rb"(?:sk|rk)_(?:live|test)_[A-Za-z0-9]{16,247}" + _END), lambda s: "none"),
-    Rule("pypi-token", (b"pypi-",), re.compile(rb"pypi-[A-Za-z0-9_-]{50,1000}"), _pypi),
-    Rule("json-web-token", (b"eyj",), re.compile(rb"eyJ[A-Za-z0-9_-]{8,4096}\.eyJ[A-Za-z0-9_-]{4,8192}\.[A-Za-z0-9_-]{16,1024}" + _END), _jwt),
-    Rule("private-key", (b"-----begin",), re.compile(rb"-----BEGIN ([A-Z]{0,12} ?)PRIVATE KEY-----[A-Za-z0-9+/=\s:,-]{32,20000}?-----END \1PRIVATE KEY-----"), _pem, edge=False),
-    Rule("assigned-secret", (b"token", b"secret", b"password", b"passwd", b"api_key", b"apikey", b"api-key", b"access_key", b"auth_key", b"private_key"), re.compile(rb"""[A-Za-z_-]{5,24}["']?[ \t]{0,8}(?:=|:|:=|=>)[ \t]{0,8}["']?([A-Za-z0-9+/_.=~-]{16,512})(?![A-Za-z0-9+/_.=~-])"""), _entropy, edge=False),
+    Rule("slack-token", (b"xoxb-", b"xoxp-", b"xoxa-", b"xoxr-", b"xoxs-"), re.compile(rb"xox[baprs]-[A-Za-z0-9-]{20,}+" + _END), lambda s: "none"),
+    Rule("stripe-key", (b"sk_live_", b"rk_live_", b"sk_test_"), re.compile(rb"(?:sk|rk)_(?:live|test)_[A-Za-z0-9]{16,}+" + _END), lambda s: "none"),
+    Rule("pypi-token", (b"pypi-",), re.compile(rb"pypi-[A-Za-z0-9_-]{50,}+"), _pypi),
+    Rule("json-web-token", (b"eyj",), re.compile(rb"eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{4,}+\.[A-Za-z0-9_-]{16,}+"), _jwt),
+    Rule("private-key", (b"-----begin",), re.compile(rb"-----BEGIN ([A-Z]{0,12} ?)PRIVATE KEY-----[A-Za-z0-9+/=\s:,\\-]{32,}?-----END \1PRIVATE KEY-----"), _pem, edge=False),
+    Rule("assigned-secret", (b"token", b"secret", b"password", b"passwd", b"api_key", b"apikey", b"api-key", b"access_key", b"auth_key", b"private_key"), re.compile(rb"""[A-Za-z_-]{5,}+["']?[ \t]*+(?:=|:|:=|=>)[ \t]*+["']?([A-Za-z0-9+/_.=~-]{16,}+)"""), _entropy, edge=False),
 )
 WHOLE = {"private-key"}
 _FIELDS = [("rule", T.StringType()), ("start", T.IntegerType()), ("length", T.IntegerType()), ("checksum", T.StringType()), ("fingerprint", T.StringType())]
