@@ -1,157 +1,188 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Terms are the words of the benchmark (letters and digits, small letters), hashed to at most COLUMNS columns. Every
-   text is cut into passages of PASSAGE words; document frequencies and then TF-IDF count over all passages of
-   all texts. Words that aren't in the benchmark have weight 0 in every query, and step 4 accepts only on benchmark words, so
-   their columns are left out. Columns in over MAX_DF of the passages are dropped, but for those of items that would keep
-   under MIN_TERMS.
-2. Randomised SVD of the passage-term matrix A in one distributed pass: tasks sum Y = A'(A R) for a random R of RANK + EXTRA columns, the
-   sums are added up by column blocks, and the Nystrom formula gives the right singular vectors of A.
-3. Candidate search: all texts are cut in tiles of TILE words; the latent vectors of WINDOWS tiles in a row are compared with all
-   items; a cosine of COSINE or more makes a candidate.
+1. Every text is cut into passages of PASSAGE words (letters and digits, small letters). Each word of the corpus counts in one of COLUMNS hashed
+   columns; one distributed pass gives the document frequency of each column over all passages and a sketch of the passage-term matrix A.
+2. The sketch is the randomised part of the SVD: each passage is added, with a random sign, to one of SKETCH rows. Weighting columns by TF-IDF
+   commutes with it, so frequencies and sketch come from the same pass; sketches of tasks add up. The singular vectors of the weighted sketch
+   are the right singular vectors of A to within its error. Texts and items are compared in RANK latent dimensions, each divided by its singular
+   value, so that what all passages have in common doesn't drown what tells them apart.
+3. Candidate search: a text and an item are compared if the text has at all PARAPHRASE of the item's words (whatever lacks them can't pass step 4). The latent vectors of
+   WINDOWS tiles of TILE words in a row are compared with the item; a cosine of COSINE or more makes a candidate.
 4. A candidate is checked on stretches of the text that begin at its tiles: the longest common subsequence of words with the item has to be NEAR of the
-   item's words, or PARAPHRASE of them with the answer check: of the item's answer, its last sentence's final ANSWER
-   words at most, half the distinct words occur in the stretch.
+   item's words, or PARAPHRASE of them with the answer check: half the distinct words of the item's answer, its last sentence, occur in the stretch.
+
+An item of fewer than SHORT words has no context to retrieve it by: it is found where all its words follow each other.
 
 The result has a row for each text and item that it leaks: doc_id, item_id, lcs_words, item_words, verbatim (NEAR was reached).
 
-What goes to all tasks is the items and the latent vectors of their terms: at most ITEMS items at a time (a larger benchmark
-is handled in several runs over the table) and COLUMNS columns; neither grows with the corpus.
+What goes to all tasks is the latent vectors of the columns and the items. The former don't grow with the corpus; of the items BLOCK at a time are sent, a
+larger benchmark takes several passes of steps 3 and 4 with the one basis of step 2, so an item's result doesn't depend on the others.
 
-Defined cases: null or empty texts leak nothing; rows with a null doc_id are searched too and keep their null. Items with a null or empty text, or of
-fewer than MIN_WORDS words, match nothing. Rows that repeat a doc_id are merged: the best finding counts. Equal items each get their row. An empty
-table on either side gives an empty result. Extra columns don't matter; `drop_leaks` returns all of them.
+Defined cases: null or empty texts leak nothing; rows with a null doc_id are searched too and keep their null. Items with a null text or without a word
+match nothing. Rows that repeat a doc_id are merged in `leaks`: the best finding counts. Equal items each get their row. An empty table on either side gives an
+empty result. `drop_leaks` judges each row by its own text, whatever its doc_id, and keeps all columns; extra columns don't matter.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quernal.llm.words import Block, blocks, mix, words
-from quernal.session import cut, ship
+from quernal.llm.words import Block, Words, blocks, grams, mix, whole, words
+from quernal.session import ship
 
-COLUMNS = 1 << 16
-ITEMS = 4096
+BITS = 15
+COLUMNS = 1 << BITS
+SKETCH = 512
+RANK = 128
 PASSAGE = 64
-MAX_DF = 0.005
-MIN_TERMS = 4
-RANK, EXTRA = 192, 16
 TILE = 16
 WINDOWS = (2, 3, 5)
-COSINE = 0.5
+COSINE = 0.3
 NEAR, PARAPHRASE = 0.9, 0.6
 STRETCH = 1.5
-ANSWER = 8
-MIN_WORDS = 5
+SHORT = 5
+BLOCK = 4096
+#: A sketch travels in so many pieces.
 _CHUNKS = 64
 _SENTENCE = np.isin(np.arange(256), [ord(c) for c in ".!?"])
 
 
-class Items:
-    """The benchmark in arrays: ids, word hashes, answers, and the terms of all items in ascending order."""
+def column(h: np.ndarray) -> np.ndarray:
+    """The columns of word hashes."""
+    return (mix(h) >> np.uint64(64 - BITS)).astype(np.int64)
 
-    def __init__(self, rows: list[tuple[int, str]]) -> None:
-        self.ids, self.words, self.answers = [], [], []
-        for item, text in rows:
-            b = next(blocks(pa.array([text or ""])))
-            w = words(b)
-            if len(w.hash) < MIN_WORDS:
-                continue
-            ends = np.concatenate([[0], np.cumsum(_SENTENCE[b.data])])
-            last = w.hash[ends[w.end - 1] == ends[w.start[-1]]]
-            self.ids.append(item)
-            self.words.append(w.hash)
-            self.answers.append(frozenset(last[-ANSWER:].tolist()))
-        every = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.words]))
-        self.terms = every
-        self.column = np.arange(len(every)) if len(every) <= COLUMNS else (mix(every) % np.uint64(COLUMNS)).astype(np.int64)
-        self.d = min(len(every), COLUMNS)
-        self.present = np.zeros(1 << 16, dtype=bool)
-        self.present[(every >> np.uint64(48)).astype(np.int64)] = True
-
-    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions in h of words of the benchmark, and their columns."""
-        at = np.flatnonzero(self.present[(h >> np.uint64(48)).astype(np.int64)])
-        k = np.searchsorted(self.terms, h[at])
-        k[k == len(self.terms)] = 0
-        ok = self.terms[k] == h[at]
-        return at[ok], self.column[k[ok]]
-
-
-def _cells(x: Block, items: Items, size: int, used: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a block: its word hashes, the first word of each row, the first cell of `size` words of each row, and cells and columns of the benchmark's words."""
-    w = words(x)
-    count = np.diff(w.first)
-    first_cell = np.concatenate([[0], np.cumsum(-(-count // size))])
-    at, col = items.find(w.hash)
-    if used is not None:
-        ok = used[col]
-        at, col = at[ok], col[ok]
-    row = np.searchsorted(w.first, at, "right") - 1
-    return w.hash, w.first, first_cell, first_cell[row] + (at - w.first[row]) // size, col
-
-
-def _frequencies(items: Items) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(items.d, np.int64), 0
-        for b in it:
-            for x in blocks(b.column(1)):
-                _, _, first_cell, cell, col = _cells(x, items, PASSAGE, None)
-                n += int(first_cell[-1])
-                df += np.bincount(np.unique(cell * items.d + col) % items.d, minlength=items.d)
-        some = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1], some])), pa.array(np.concatenate([[n], df[some]]))], names=["col", "n"])
 
-    return run
+def masks_of(item: np.ndarray) -> dict[int, int]:
+    out: dict[int, int] = {}
+    for k, h in enumerate(item.tolist()):
+        out[h] = out.get(h, 0) | 1 << k
+    return out
 
 
-def _range(items: Items, weight: np.ndarray, test: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    used = weight > 0
+class Item:
+    """A benchmark item: its id, word hashes, the distinct ones with counts, their positions as bits, and the words of its answer."""
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        y = np.zeros(test.shape, np.float32)
-        for b in it:
-            for x in blocks(b.column(1)):
-                _, _, _, cell, col = _cells(x, items, PASSAGE, used)
-                if not len(cell):
-                    continue
-                starts = np.flatnonzero(np.concatenate([[True], np.diff(cell) > 0]))
-                ax = np.add.reduceat(test[col] * weight[col, None], starts)
-                mine = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(cell))))
-                order = np.argsort(col, kind="stable")
-                c = col[order]
-                new = np.flatnonzero(np.concatenate([[True], np.diff(c) > 0]))
-                y[c[new]] += np.add.reduceat(ax[mine[order]] * weight[c, None], new)
-        parts = np.array_split(y, _CHUNKS)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(_CHUNKS)), pa.array([p.tobytes() for p in parts], pa.binary())], names=["chunk", "sums"])
+    def __init__(self, item_id: int, w: Words, data: np.ndarray) -> None:
+        self.id, self.words, self.size = item_id, w.hash, len(w.hash)
+        self.kinds, self.counts = np.unique(w.hash, return_counts=True)
+        self.masks = masks_of(w.hash)
+        ends = np.concatenate([[0], np.cumsum(_SENTENCE[data])])
+        self.answer = frozenset(w.hash[ends[w.end - 1] == ends[w.start[-1]]].tolist())
 
-    return run
+
+def items_of(rows: list[tuple[int, str | None]]) -> list[Item]:
+    """The items that have a word."""
+    out = []
+    for item_id, text in rows:
+        for b in blocks(pa.array([text or ""])):
+            w = words(b)
+            if len(w.hash):
+                out.append(Item(item_id, w, b.data))
+    return out
+
+
+class Postings:
+    """Which items have a word how often; for finding the items of which a row has enough words."""
+
+    def __init__(self, items: list[Item]) -> None:
+        self.items = items
+        word = np.concatenate([np.zeros(0, np.uint64), *(i.kinds for i in items)])
+        order = np.argsort(word, kind="stable")
+        self.terms, first = np.unique(word[order], return_index=True)
+        self.first = np.append(first, len(word))
+        self.item = np.repeat(np.arange(len(items)), [len(i.kinds) for i in items])[order]
+        self.count = np.concatenate([np.zeros(0, np.int64), *(i.counts for i in items)])[order]
+        self.need = np.array([math.ceil(PARAPHRASE * i.size - 1e-9) for i in items])
+        self.present = np.zeros(1 << 16, dtype=bool)
+        self.present[(self.terms >> np.uint64(48)).astype(np.int64)] = True
+
+    def candidates(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and items such that the row has `need` of the item's words, order and repeats aside."""
+        at = np.flatnonzero(self.present[(w.hash >> np.uint64(48)).astype(np.int64)])
+        k = np.minimum(np.searchsorted(self.terms, w.hash[at]), len(self.terms) - 1)
+        ok = self.terms[k] == w.hash[at]
+        row = np.searchsorted(w.first, at[ok], "right") - 1
+        pair = np.unique(row * len(self.terms) + k[ok])
+        row, k = pair // len(self.terms), pair % len(self.terms)
+        n = self.first[k + 1] - self.first[k]
+        post = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - self.first[k], n)
+        rows = len(w.first) - 1
+        has = np.bincount(np.repeat(row, n) * len(self.items) + self.item[post], weights=self.count[post], minlength=rows * len(self.items))
+        return np.nonzero(has.reshape(rows, -1) >= self.need)
+
+
+def _sketched(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The task's passages in the sketch, and document frequencies in a row after it; whole numbers throughout."""
+    sums = np.zeros((SKETCH + 1) * COLUMNS, np.int32)
+    total = 0
+    for b in it:
+        ids = b.column(0).fill_null(-1).to_numpy().view(np.uint64)
+        for x in blocks(b.column(1)):
+            w = words(x)
+            if not len(w.hash):
+                continue
+            size = -(-np.diff(w.first) // PASSAGE)
+            first = np.concatenate([[0], np.cumsum(size)])
+            row = w.row()
+            inside = (np.arange(len(row)) - w.first[row]) // PASSAGE
+            cell, col = first[row] + inside, column(w.hash)
+            of = np.repeat(np.arange(len(x)), size)
+            turn = mix(mix(ids[x.first + of]) + (np.arange(first[-1]) - first[of]).astype(np.uint64))
+            sign = np.where(turn >> np.uint64(63), 1, -1).astype(np.int32)
+            np.add.at(sums, (turn % np.uint64(SKETCH)).astype(np.int64)[cell] * COLUMNS + col, sign[cell])
+            np.add.at(sums, SKETCH * COLUMNS + np.unique(cell * COLUMNS + col) % COLUMNS, 1)
+            total += int(first[-1])
+    codec = pa.Codec("zstd", 1)
+    parts = [codec.compress(p.tobytes(), asbytes=True) for p in np.array_split(sums, _CHUNKS)]
+    yield pa.RecordBatch.from_arrays([pa.array([*range(_CHUNKS), -1]), pa.array([*parts, codec.compress(np.array([total]).tobytes(), asbytes=True)], pa.binary())], names=["chunk", "sums"])
+
+
+def _piece(chunk: int) -> tuple[np.dtype, int]:
+    """Type and length of a chunk's numbers."""
+    n = (SKETCH + 1) * COLUMNS
+    return (np.dtype(np.int64), 1) if chunk < 0 else (np.dtype(np.int32), n // _CHUNKS + (chunk < n % _CHUNKS))
 
 
 def _added(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     have: dict[int, np.ndarray] = {}
+    codec = pa.Codec("zstd", 1)
     for b in it:
         for k, s in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            v = np.frombuffer(s.as_buffer(), np.float32).astype(np.float64)
+            kind, n = _piece(k)
+            v = np.frombuffer(codec.decompress(s.as_buffer(), n * kind.itemsize), kind).astype(np.int64)
             have[k] = have[k] + v if k in have else v
-    if have:
-        yield pa.RecordBatch.from_arrays([pa.array([*have]), pa.array([v.tobytes() for v in have.values()], pa.binary())], names=["chunk", "sums"])
+    for k, v in have.items():
+        # beyond a task's numbers the sums may be large; 32 bits of a float are enough for the axes
+        yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([v.astype(np.float32 if k >= 0 else np.float64).tobytes()], pa.binary())], names=["chunk", "sums"])
+
 
+def basis(texts: DataFrame) -> np.ndarray:
+    """COLUMNS x RANK at most: the latent vector of a word of each column, TF-IDF weight and singular values taken in."""
+    sums = texts.mapInArrow(_sketched, "chunk bigint, sums binary").repartition("chunk").mapInArrow(_added, "chunk bigint, sums binary")
+    parts = dict(sums.collect())
+    if not parts:
+        return np.zeros((COLUMNS, 1), np.float32)
+    passages = np.frombuffer(parts.pop(-1), np.float64)[0]
+    flat = np.concatenate([np.frombuffer(parts[k], np.float32) for k in sorted(parts)]).reshape(SKETCH + 1, COLUMNS)
+    return latent(flat[:SKETCH], flat[SKETCH], passages)
 
-def _basis(y: np.ndarray, test: np.ndarray) -> np.ndarray:
-    """Right singular vectors of A from Y = A'A R, by the Nystrom formula with a small shift."""
-    shift = 1e-6 * np.linalg.norm(y) + 1e-12
-    y = y + shift * test
-    core = test.T @ y
-    low = np.linalg.cholesky((core + core.T) / 2 + shift * 1e-3 * np.eye(len(core)))
-    u, _, _ = np.linalg.svd(np.linalg.solve(low, y.T).T, full_matrices=False)
-    return u[:, :RANK]
+
+def latent(sketch: np.ndarray, df: np.ndarray, passages: float) -> np.ndarray:
+    weight = (np.log((1 + passages) / (1 + df)) + 1).astype(np.float32)
+    a = sketch * weight
+    values, left = np.linalg.eigh((a @ a.T).astype(np.float64))
+    keep = [k for k in range(len(values) - 1, -1, -1) if values[k] > max(1e-6 * values[-1], 1e-9)][:RANK]
+    if not keep:
+        return np.zeros((COLUMNS, 1), np.float32)
+    return (a.T @ (left[:, keep] / values[keep]).astype(np.float32)) * weight[:, None]
 
 
 def lcs(a: list[int], masks: dict[int, int], size: int) -> int:
@@ -166,31 +197,34 @@ def lcs(a: list[int], masks: dict[int, int], size: int) -> int:
     return size - v.bit_count()
 
 
-def possible(part: np.ndarray, kinds: np.ndarray, counts: np.ndarray, starts: np.ndarray, span: int) -> np.ndarray:
+def possible(part: np.ndarray, item: Item, starts: np.ndarray, span: int) -> np.ndarray:
     """Which stretches part[s : s + span] share enough words with the item, order aside: a bound on the subsequence."""
-    least = PARAPHRASE * counts.sum()
-    k = np.searchsorted(kinds, part)
-    k[k == len(kinds)] = 0
-    hit = np.flatnonzero(kinds[k] == part)
+    least = PARAPHRASE * item.size
+    k = np.minimum(np.searchsorted(item.kinds, part), len(item.kinds) - 1)
+    hit = np.flatnonzero(item.kinds[k] == part)
     k = k[hit]
-    if np.minimum(np.bincount(k, minlength=len(kinds)), counts).sum() < least:
+    if np.minimum(np.bincount(k, minlength=len(item.kinds)), item.counts).sum() < least:
         return np.zeros(len(starts), dtype=bool)
-    seen = np.zeros((len(hit) + 1, len(kinds)), np.int32)
-    seen[np.arange(1, len(hit) + 1), k] = 1
-    np.cumsum(seen, axis=0, out=seen)
-    some = seen[np.searchsorted(hit, starts + span)] - seen[np.searchsorted(hit, starts)]
-    return np.minimum(some, counts).sum(axis=1) >= least
+    lo, hi = np.searchsorted(hit, starts), np.searchsorted(hit, starts + span)
+    out = hi - lo >= least
+    some = np.flatnonzero(out)
+    if len(some):
+        seen = np.zeros((len(hit) + 1, len(item.kinds)), np.int32)
+        seen[np.arange(1, len(hit) + 1), k] = 1
+        np.cumsum(seen, axis=0, out=seen)
+        out[some] = np.minimum(seen[hi[some]] - seen[lo[some]], item.counts).sum(axis=1) >= least
+    return out
 
 
-def matched(text: np.ndarray, item: "Item", tiles: list[int]) -> tuple[int, bool, bool]:
+def matched(text: np.ndarray, item: Item, tiles: np.ndarray) -> tuple[int, bool, bool]:
     """The best (common words, verbatim, accepted) over the stretches of `text` that begin at the given tiles, in ascending order."""
     n = item.size
     span = math.ceil(STRETCH * n) + TILE
     best = (0, False, False)
-    lo = tiles[0] * TILE
-    region = text[lo : tiles[-1] * TILE + span]
-    starts = np.array(tiles) * TILE - lo
-    for s in starts[possible(region, item.kinds, item.counts, starts, span)].tolist():
+    lo = int(tiles[0]) * TILE
+    region = text[lo : int(tiles[-1]) * TILE + span]
+    starts = tiles * TILE - lo
+    for s in starts[possible(region, item, starts, span)].tolist():
         part = region[s : s + span].tolist()
         common = lcs(part, item.masks, n)
         near = common >= NEAR * n
@@ -201,112 +235,129 @@ def matched(text: np.ndarray, item: "Item", tiles: list[int]) -> tuple[int, bool
     return best
 
 
-class Item:
-    """An item ready for checks."""
-
-    def __init__(self, words: np.ndarray, answer: frozenset) -> None:
-        self.size, self.answer = len(words), answer
-        self.kinds, self.counts = np.unique(words, return_counts=True)
-        self.masks = masks_of(words)
-
-
-def masks_of(item: np.ndarray) -> dict[int, int]:
-    out: dict[int, int] = {}
-    for k, h in enumerate(item.tolist()):
-        out[h] = out.get(h, 0) | 1 << k
-    return out
-
-
-def _search(items: Items, weight: np.ndarray, basis: np.ndarray, queries: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    used = weight > 0
-    latent = (basis * weight[:, None]).astype(np.float32)
-
+class Search:
+    """Finds leaked items in blocks of texts; vectors: the latent vectors of the columns, and after them one of no word."""
+
+    def __init__(self, items: list[Item], vectors: np.ndarray) -> None:
+        self.vectors = np.concatenate([vectors, np.zeros((1, vectors.shape[1]), np.float32)])
+        self.long = [i for i in items if i.size >= SHORT]
+        self.short = [i for i in items if i.size < SHORT]
+        self.postings = Postings(self.long)
+        q = np.array([vectors[column(i.words)].sum(axis=0) for i in self.long]).reshape(len(self.long), -1)
+        self.queries = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
+
+    def windows(self, h: np.ndarray) -> np.ndarray:
+        """Latent vectors of length 1 of the WINDOWS tiles from each tile of a text, as (window, tile, dimension)."""
+        n = -(-len(h) // TILE)
+        col = np.full(n * TILE, COLUMNS)
+        col[: len(h)] = column(h)
+        z = np.zeros((n + max(WINDOWS), self.vectors.shape[1]), np.float32)
+        np.einsum("ijk->ik", self.vectors[col].reshape(n, TILE, -1), out=z[:n])
+        s = np.stack([sum(z[k : k + n] for k in range(w)) for w in WINDOWS])
+        s /= np.maximum(np.sqrt(np.einsum("ijk,ijk->ij", s, s)), 1e-12)[:, :, None]
+        return s
+
+    def row(self, h: np.ndarray, items: np.ndarray) -> Iterator[tuple[Item, int, bool]]:
+        """The items of those given that a text leaks, by retrieval and checks."""
+        close = self.windows(h) @ self.queries[items].T >= COSINE
+        tiles = close.shape[1]
+        for j, k in enumerate(items.tolist()):
+            item = self.long[k]
+            edge = np.zeros(tiles + 1, np.int64)
+            for n, hits in zip(WINDOWS, close[:, :, j], strict=True):
+                t = np.flatnonzero(hits)
+                np.add.at(edge, np.maximum(t - math.ceil(STRETCH * item.size / TILE), 0), 1)
+                np.add.at(edge, np.minimum(t + n, tiles), -1)
+            wanted = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+            if len(wanted):
+                common, near, ok = matched(h, item, wanted)
+                if ok:
+                    yield item, common, near
+
+    def block(self, x: Block) -> Iterator[tuple[int, Item, int, bool]]:
+        """(row, item, common words, verbatim) for each finding in a block."""
+        w = words(x)
+        if not len(w.hash):
+            return
+        if self.long:
+            rows, items = self.postings.candidates(w)
+            edges = [*np.flatnonzero(np.diff(rows, prepend=-1)).tolist(), len(rows)]
+            for a, b in itertools.pairwise(edges):
+                r = int(rows[a])
+                for found in self.row(w.hash[w.first[r] : w.first[r + 1]], items[a:b]):
+                    yield r, *found
+        for n in {i.size for i in self.short}:
+            g = grams(w.hash, n)
+            whole_ = whole(w.first, n)
+            for i in (i for i in self.short if i.size == n):
+                at = np.flatnonzero(whole_ & (g == grams(i.words, n)[0]))
+                for r in np.unique(np.searchsorted(w.first, at, "right") - 1).tolist():
+                    yield r, i, n, True
+
+
+_SCHEMA = T.StructType([T.StructField(n, k) for n, k in (("doc_id", T.LongType()), ("item_id", T.LongType()), ("lcs_words", T.IntegerType()), ("item_words", T.IntegerType()), ("verbatim", T.BooleanType()))])
+
+
+def _found(search: Search) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready = [Item(w, a) for w, a in zip(items.words, items.answers, strict=True)]
         for b in it:
             rows, found = [], []
             for x in blocks(b.column(1)):
-                h, first, first_tile, tile, col = _cells(x, items, TILE, used)
-                if not len(tile):
-                    continue
-                z = np.zeros((int(first_tile[-1]) + max(WINDOWS), latent.shape[1]), np.float32)
-                starts = np.flatnonzero(np.concatenate([[True], np.diff(tile) > 0]))
-                z[tile[starts]] = np.add.reduceat(latent[col], starts)
-                live = np.zeros(len(z), dtype=bool)
-                live[tile] = True
-                row_of = np.repeat(np.arange(len(x)), np.diff(first_tile))
-                wanted: dict[tuple[int, int], set[int]] = {}
-                for n in WINDOWS:
-                    any_live = np.convolve(live, np.ones(n, np.int64))[n - 1 : n - 1 + len(row_of)] > 0
-                    at = np.flatnonzero(any_live)
-                    sums = sum(z[at + k] * ((row_of[np.minimum(at + k, len(row_of) - 1)] == row_of[at]) & (at + k < len(row_of)))[:, None] for k in range(n))
-                    norm = np.linalg.norm(sums, axis=1)
-                    w, q = np.nonzero((sums @ queries.T) >= COSINE * np.maximum(norm, 1e-9)[:, None])
-                    for t, r, k in zip(at[w].tolist(), row_of[at[w]].tolist(), q.tolist(), strict=True):
-                        wanted.setdefault((r, k), set()).update(range(t - first_tile[r] - math.ceil(STRETCH * len(items.words[k]) / TILE), t - first_tile[r] + n))
-                for (r, k), tiles in wanted.items():
-                    text = h[first[r] : first[r + 1]]
-                    last = first_tile[r + 1] - first_tile[r]
-                    common, near, ok = matched(text, ready[k], sorted(t for t in tiles if 0 <= t < last))
-                    if ok:
-                        rows.append(r + x.first)
-                        found.append((items.ids[k], common, len(items.words[k]), near))
+                for r, item, common, near in search.block(x):
+                    rows.append(r + x.first)
+                    found.append((item.id, common, item.size, near))
             if rows:
                 item, common, size, near = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(item, pa.int64()), pa.array(common, pa.int32()), pa.array(size, pa.int32()), pa.array(near)], names=["doc_id", "item_id", "lcs_words", "item_words", "verbatim"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(item, pa.int64()), pa.array(common, pa.int32()), pa.array(size, pa.int32()), pa.array(near)], names=_SCHEMA.names)
 
     return run
 
 
-_SCHEMA = "doc_id bigint, item_id bigint, lcs_words int, item_words int, verbatim boolean"
-
-
-def _leaks(texts: DataFrame, items: Items) -> DataFrame:
-    counts = dict(texts.mapInArrow(_frequencies(items), "col bigint, n bigint").groupBy("col").agg(F.sum("n")).collect())
-    n = counts.pop(-1, 0)
-    df = np.zeros(items.d)
-    df[list(counts)] = list(counts.values())
-    often = df > MAX_DF * n
-    cols = [np.unique(items.column[np.searchsorted(items.terms, w)]) for w in items.words]
-    for c in cols:
-        if np.count_nonzero(~often[c]) < MIN_TERMS:
-            often[c] = False
-    weight = np.where(often, 0.0, np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
-    width = min(items.d, RANK + EXTRA)
-    test = np.eye(items.d) if width == items.d else np.linalg.qr(np.random.default_rng(11).standard_normal((items.d, width)))[0]
-    sums = texts.mapInArrow(_range(items, weight, test.astype(np.float32)), "chunk bigint, sums binary")
-    parts = dict(sums.repartition("chunk").mapInArrow(_added, "chunk bigint, sums binary").collect())
-    y = np.concatenate([np.frombuffer(parts[k], np.float64) for k in sorted(parts)]).reshape(items.d, width) if parts else np.zeros((items.d, width))
-    basis = _basis(y, test)
-    tf = np.zeros((len(items.ids), items.d), np.float32)
-    for k, w in enumerate(items.words):
-        np.add.at(tf[k], items.column[np.searchsorted(items.terms, w)], 1)
-    queries = (tf * weight) @ basis
-    queries = (queries / np.maximum(np.linalg.norm(queries, axis=1), 1e-9)[:, None]).astype(np.float32)
-    return texts.mapInArrow(_search(items, weight, basis, queries), _SCHEMA)
+def _searches(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, Iterator[Search]]:
+    """The texts as (doc_id, text), and a search for each block of items."""
+    ship(docs.sparkSession)
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    bench = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
+    runs = math.ceil(bench.count() / BLOCK)
+
+    def made() -> Iterator[Search]:
+        vectors = None
+        for k in range(runs):
+            some = bench.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(runs)) == k).collect()
+            items = items_of([(r.item_id, r.text) for r in some])
+            if items:
+                vectors = basis(texts) if vectors is None else vectors
+                yield Search(items, vectors)
+
+    return texts, made()
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, lcs_words, item_words, verbatim: which documents hold which items."""
-    spark = docs.sparkSession
-    ship(spark)
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    bench = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    runs = math.ceil(bench.count() / ITEMS)
-    found = None
-    for k in range(runs):
-        some = bench.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(runs)) == k).orderBy("item_id", "text").collect()
-        items = Items([(r.item_id, r.text) for r in some])
-        if items.ids:
-            one = _leaks(texts, items)
-            found = one if found is None else found.union(one)
-    if found is None:
-        found = spark.createDataFrame([], _SCHEMA)
+    texts, searches = _searches(docs, benchmark)
+    found = docs.sparkSession.createDataFrame([], _SCHEMA)
+    for search in searches:
+        found = found.union(texts.mapInArrow(_found(search), _SCHEMA))
     best = F.max(F.struct("lcs_words", "item_words", "verbatim")).alias("best")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
 
 
+def _leaky(search: Search) -> Callable[[Column], Column]:
+    @F.arrow_udf(T.BooleanType())
+    def leaky(text: pa.Array) -> pa.Array:
+        out = np.zeros(len(text), dtype=bool)
+        for x in blocks(text):
+            for r, *_ in search.block(x):
+                out[r + x.first] = True
+        return pa.array(out)
+
+    return leaky
+
+
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that hold an item, all columns kept. A row without a doc_id can't be named, so it stays."""
-    gone = cut(leaks(docs, benchmark).filter("doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(gone, F.col("doc_id").cast("bigint") == F.col("__gone"), "left_anti")
+    """docs without the rows whose text holds an item, all columns kept."""
+    _, searches = _searches(docs, benchmark)
+    out = docs
+    for search in searches:
+        out = out.filter(~_leaky(search)(docs["text"].cast("string")))
+    return out

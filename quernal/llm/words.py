@@ -115,8 +115,15 @@ def fold(data: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[data]
 
 
+def _single(data: np.ndarray) -> np.ndarray:
+    """Where letters of scripts that put no space between words begin: U+3000..U+9FFF (kana, Han) and U+0E00..U+0EFF (Thai, Lao)."""
+    at = np.flatnonzero((data >= 0xE3) & (data <= 0xE9))
+    thai = np.flatnonzero(data[:-1] == 0xE0)
+    return np.concatenate([at, thai[(data[thai + 1] >= 0xB8) & (data[thai + 1] <= 0xBB)]])
+
+
 def words(block: Block, table: np.ndarray = FOLD) -> Words:
-    """Maximal runs of bytes that `table` doesn't map to 0; the ends of rows end words too."""
+    """Maximal runs of bytes that `table` doesn't map to 0; the ends of rows end words too. With FOLD a letter of a script without spaces is a word."""
     f = fold(block.data, table)
     n = len(f)
     if not n:
@@ -124,6 +131,10 @@ def words(block: Block, table: np.ndarray = FOLD) -> Words:
     inside = f != 0
     edge = np.zeros(n + 1, dtype=bool)
     edge[block.offsets] = True
+    if table is FOLD:
+        single = _single(block.data)
+        edge[single] = True
+        edge[np.minimum(single + 3, n)] = True
     before = np.empty(n, dtype=bool)
     before[0] = False
     before[1:] = inside[:-1]
