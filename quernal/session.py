@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import zipfile
@@ -53,6 +54,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the driver find out now which shuffles and checkpoints nothing refers to any more, so that their files go."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def unused(columns: list[str], stem: str) -> str:
+    """A column name that isn't among `columns`, whatever its case."""
+    taken = {c.lower() for c in columns}
+    name = stem
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def ship(spark: SparkSession) -> None:
     """Lets Python workers import this package, once per Spark context."""
     context = spark.sparkContext
