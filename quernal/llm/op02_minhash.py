@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernal.llm.words import Block, blocks, grams, mix, whole, words
-from quernal.session import cut, ship
+from quernal.session import cut, release, ship, unused
 
 SHINGLE = 3
 SIDES = 10
@@ -176,15 +176,17 @@ def groups(docs: DataFrame) -> DataFrame:
         pairs = cut(pairs)
         good = cut(_alike(sets, pairs))
         tried = pairs if tried is None else tried.union(pairs)
-        edges = good if edges is None else edges.union(good)
         joined = not good.isEmpty()
         if joined or not rounds:
-            label = components(edges)
+            # the stars of the rounds before stand for all their edges
+            label = components(good if edges is None else edges.union(good))
+            edges = label.select(F.col("group").alias("a"), F.col("doc_id").alias("b"))
             seen = met.join(label, "doc_id", "left").select("key", "doc_id", F.coalesce("group", "doc_id").alias("group"))
             mixed = seen.withColumns({"lo": F.min("group").over(bucket), "hi": F.max("group").over(bucket)}).filter("lo <> hi").select("key", "doc_id", "group")
             mixed = cut(mixed)
             met = mixed.select("key", "doc_id")
         rounds += 1
+        release(spark)
         sizes = mixed.groupBy("key", "group").count().groupBy("key").agg(F.sum("count").alias("n"), F.sum(F.expr("double(count) * count")).alias("within"))
         apart = sizes.agg(F.coalesce(F.sum(F.expr("(double(n) * n - within) / 2")), F.lit(0.0))).first()[0]
         if not joined or apart <= enough:
@@ -200,13 +202,18 @@ def groups(docs: DataFrame) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """docs with one document left of each group, all columns kept."""
-    gone = cut(groups(docs)).select(F.col("doc_id").alias("__gone"))
-    here = F.col("doc_id").cast("bigint")
-    left = docs.join(gone, here == F.col("__gone"), "left_anti")
-    twice = cut(docs.filter("doc_id is not null and text is not null").groupBy(here.alias("__twice")).count().filter("count > 1").select("__twice"))
+    """docs with one document left of each group, all columns kept. Of rows with one doc_id and text the first by all columns as JSON stays."""
+    columns = docs.columns
+    mine = unused(columns, "gone")
+    here = docs["doc_id"].cast("bigint")
+    gone = cut(groups(docs)).select(F.col("doc_id").alias(mine))
+    left = docs.join(gone, here == gone[mine], "left_anti")
+    twice = cut(docs.filter(docs["doc_id"].isNotNull() & docs["text"].isNotNull()).groupBy(here.alias(mine)).agg(F.count("*").alias("n")).filter("n > 1").select(mine))
+    release(docs.sparkSession)
     if twice.isEmpty():
         return left
-    again = left.join(twice, here == F.col("__twice"), "left_semi").dropDuplicates(["doc_id", "text"])
-    once = left.join(twice, here == F.col("__twice"), "left_anti")
-    return once.unionByName(again)
+    repeated = left.filter(docs["text"].isNotNull()).join(twice, here == twice[mine], "left_semi")
+    row = F.struct(*[docs[c] for c in columns])
+    again = repeated.groupBy(here, docs["text"]).agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
+    once = left.join(twice, (here == twice[mine]) & docs["text"].isNotNull(), "left_anti")
+    return once.union(again)
