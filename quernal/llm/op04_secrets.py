@@ -13,7 +13,7 @@ expression tried, anchored at the keyword (`before` bytes ahead of it at most),
 
 A result row has doc_id, rule, start (code points, from 0), length, checksum ('valid', 'none' where the kind has none, and 'invalid'), and fingerprint,
 the SHA-256 of the secret, never the secret. Matches with a failed checksum are reported as 'invalid' and left in the text by `redact`. Where
-findings overlap the one that begins first stays, then the longest, then the first rule.
+findings overlap the one that begins first stays, then the longest, then the first rule; but an 'invalid' one gives way to any other that overlaps it.
 
 Names, values, tokens and key bodies may be of any length. A try costs time linear in what follows the hit, so a long value that is full of keywords
 costs its length times their number.
@@ -163,8 +163,7 @@ def attempt(rule: Rule, data: bytes, at: int, end: int) -> tuple[int, int, str]
     return None if state == "no" else (a, b, state)
 
 
-def resolve(found: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
-    """Of overlapping (start, end, rule, state) the first, longest, earliest rule."""
+def _first(found: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
     out: list[tuple[int, int, int, str]] = []
     for x in sorted(set(found), key=lambda x: (x[0], -x[1], x[2])):
         if not out or x[0] >= out[-1][1]:
@@ -172,6 +171,18 @@ def resolve(found: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int,
     return out
 
 
+def resolve(found: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
+    """Of overlapping (start, end, rule, state) the first, longest, earliest rule; one with a failed checksum only where no other overlaps it."""
+    good = _first([x for x in found if x[3] != "invalid"])
+    ends = [x[1] for x in good]
+
+    def free(x: tuple[int, int, int, str]) -> bool:
+        k = bisect.bisect_right(ends, x[0])
+        return k == len(good) or good[k][0] >= x[1]
+
+    return sorted(good + [x for x in _first([x for x in found if x[3] == "invalid" and free(x)])])
+
+
 def scan(block: Block) -> dict[int, list[tuple[int, int, int, str]]]:
     """By row of the block: findings (start, end, rule, state) at byte positions in the block."""
     if not _made:
