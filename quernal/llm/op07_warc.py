@@ -46,7 +46,7 @@ def chunked(body: bytes, step: int = 700) -> bytes:
 
 
 def unchunked(data: bytes) -> bytes | None:
-    """The body in chunked framing, None if it breaks off or a size can't be read."""
+    """The body in chunked framing, None if it breaks off, before the blank line after the last chunk too, or a size can't be read."""
     out, at = [], 0
     while True:
         end = data.find(b"\r\n", at)
@@ -58,7 +58,8 @@ def unchunked(data: bytes) -> bytes | None:
         n = int(size, 16)
         at = end + 2
         if n == 0:
-            return b"".join(out)
+            ended = data.startswith(b"\r\n", at) or data.find(b"\r\n\r\n", at) >= 0
+            return b"".join(out) if ended else None
         if data[at + n : at + n + 2] != b"\r\n":
             return None
         out.append(data[at : at + n])
@@ -148,7 +149,7 @@ def segment(pages: DataFrame, size: int = SEGMENT) -> DataFrame:
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """page_id, url, state, n_segments, html, html_bytes: pages cut in segments and put together again."""
+    """page_id, url, state, n_segments, html, html_bytes: pages cut in segments and put together again. Equal rows make one record."""
     whole = reassemble(segment(pages))
     return whole.select(F.expr("try_cast(headers['x-page-id'] as bigint)").alias("page_id"), F.col("target_uri").alias("url"), "state", "n_segments", F.decode("body", "UTF-8").alias("html"), F.octet_length("body").cast("bigint").alias("html_bytes"))
 
@@ -157,7 +158,7 @@ def oracle(size: int = SEGMENT) -> str:
     """The round trip in DuckDB SQL: the framing's length gives the number of segments."""
     head = len("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\nX-Page-Id: \r\n\r\n")
     return f"""
-WITH RECURSIVE p AS (SELECT page_id, url, html, CAST(octet_length(encode(html)) AS BIGINT) AS n FROM pages),
+WITH RECURSIVE p AS (SELECT DISTINCT page_id, url, html, CAST(octet_length(encode(html)) AS BIGINT) AS n FROM pages),
 c AS (SELECT page_id, n, 0 AS k, CAST(0 AS BIGINT) AS done, CAST(5 AS BIGINT) AS framed FROM p
   UNION ALL SELECT page_id, n, k + 1, done + least(n - done, 700 + 97 * (k % 5)), framed + least(n - done, 700 + 97 * (k % 5)) + 4 +
     length(printf('%x', least(n - done, 700 + 97 * (k % 5)))) + CASE WHEN k % 3 = 2 THEN 3 + length(CAST(k AS VARCHAR)) ELSE 0 END FROM c WHERE done < n),
