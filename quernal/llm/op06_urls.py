@@ -1,6 +1,6 @@
 """URL filters: logistic regression on hashed character n-grams of host and path.
 
-Features are the byte n-grams (SIZES) of host and path, in small letters with a mark at either end, hashed to DIMENSIONS with host and path
+Features are the character n-grams (SIZES) of host and path, in small letters with a mark at either end, hashed to DIMENSIONS with host and path
 apart; a feature's value is its count over the square root of the number of n-grams. Training is on the driver, from a small
 labelled table (url, label 0/1, 1 for unwanted) of which at most TRAIN_ROWS rows are used, by full-batch accelerated gradients with an L2 penalty,
 classes weighted alike. The weights, DIMENSIONS floats whatever the data, go to the tasks, which score all URLs block by block in numpy.
@@ -14,7 +14,9 @@ both classes gives score 0 to all. Null labels or URLs in it are left out.
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernal.llm.words import _BYTE, Block, blocks, grams, per_row, whole
+from quernal.llm.words import Block, blocks, grams, mix, per_row, whole
 from quernal.session import ship
 
 SIZES = (3, 4, 5)
@@ -41,16 +43,20 @@ def split(urls: pa.Array) -> tuple[pa.Array, pa.Array]:
     return pc.if_else(ok, host, none), pc.if_else(ok, path, none)
 
 
-def _indices(x: Block, salt: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each size: hashed n-grams and 1 where they lie within one row."""
-    h = _BYTE[x.data] * np.uint64(salt)
-    return [((grams(h, n) % np.uint64(DIMENSIONS)).astype(np.int64), whole(x.offsets, n)) for n in SIZES]
+def _characters(x: Block) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of a block and where its rows begin among them."""
+    points = np.frombuffer(x.data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    starts = np.concatenate([[0], np.cumsum((x.data & 0xC0) != 0x80)])
+    return points, starts[x.offsets]
 
 
-def _features(part: pa.Array, salt: int) -> Iterator[tuple[Block, list[tuple[np.ndarray, np.ndarray]]]]:
+def _features(part: pa.Array, salt: int) -> Iterator[tuple[int, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]]:
+    """For each block its first row, where its rows begin, and for each size the hashed n-grams and which of them lie within one row."""
     marked = pc.binary_join_element_wise("^", pc.fill_null(part, ""), "$", "")
     for x in blocks(marked):
-        yield x, _indices(x, salt)
+        points, first = _characters(x)
+        h = mix(points.astype(np.uint64) * np.uint64(salt))
+        yield x.first, first, [((grams(h, n) % np.uint64(DIMENSIONS)).astype(np.int64), whole(first, n)) for n in SIZES]
 
 
 _SALTS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -59,12 +65,12 @@ _SALTS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 def scores(host: pa.Array, path: pa.Array, weights: np.ndarray, bias: float) -> np.ndarray:
     total, count = np.zeros(len(host)), np.zeros(len(host))
     for part, salt in zip((host, path), _SALTS, strict=True):
-        for x, found in _features(part, salt):
-            rows = slice(x.first, x.first + len(x))
+        for at, first, found in _features(part, salt):
+            rows = slice(at, at + len(first) - 1)
             for k, ok in found:
-                pad = np.zeros(int(x.offsets[-1]) - len(k))
-                total[rows] += per_row(np.concatenate([np.where(ok, weights[k], 0.0), pad]), x.offsets)
-                count[rows] += per_row(np.concatenate([ok.astype(float), pad]), x.offsets)
+                pad = np.zeros(int(first[-1]) - len(k))
+                total[rows] += per_row(np.concatenate([np.where(ok, weights[k], 0.0), pad]), first)
+                count[rows] += per_row(np.concatenate([ok.astype(float), pad]), first)
     return total / np.sqrt(np.maximum(count, 1)) + bias
 
 
@@ -76,8 +82,8 @@ def train(urls: list[str], labels: list[int], rounds: int = 300) -> tuple[np.nda
     host, path = split(pa.array(urls, pa.string()))
     rows, cols = [], []
     for part, salt in zip((host, path), _SALTS, strict=True):
-        for x, found in _features(part, salt):
-            of = np.repeat(np.arange(len(x)), np.diff(x.offsets)) + x.first
+        for at, first, found in _features(part, salt):
+            of = np.repeat(np.arange(len(first) - 1), np.diff(first)) + at
             for k, ok in found:
                 rows.append(of[: len(k)][ok])
                 cols.append(k[ok])
@@ -109,28 +115,10 @@ def _scored(weights: np.ndarray, bias: float) -> Callable[[Iterator[pa.RecordBat
     return run
 
 
-_BAD = "casino bet bets poker slot jackpot win pills pharma cheap meds viagra adult xxx porn cam dating spam farm ads track popup click prize free bonus loan payday replica torrent crack keygen seo backlink traffic crypto giveaway".split()
-_GOOD = "university library science museum city council weather history garden school journal research health recipe travel maps music theatre forum photo archive data docs wiki energy bridge river mountain forest ocean paper letter village market studio reader news daily report open local public north south river stone cedar willow harbor".split()
-_SYLLABLES = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve".split()
-
-
-def labelled_urls(seed: int = 5, size: int = 1200) -> list[tuple[str, int]]:
-    """A small labelled table: unwanted hosts are made of words of gambling, pills, adult and advertising sites."""
-    rng = np.random.default_rng(seed)
-    pick = lambda xs: str(xs[int(rng.integers(len(xs)))])
-    out = []
-    for k in range(size):
-        bad = k % 3 == 0
-        if bad:
-            name = pick(["-", "-", ""]).join(pick(_BAD) for _ in range(2 + int(rng.integers(2))))
-        elif k % 3 == 1:
-            name = "".join(pick(_SYLLABLES) for _ in range(2 + int(rng.integers(4))))
-        else:
-            name = pick(["-", ""]).join(pick(_GOOD) for _ in range(1 + int(rng.integers(2))))
-        host = pick(["", "www.", "blog.", "m."]) + name + pick([".example", ""]) + pick([".com", ".org", ".net"])
-        path = pick(["", f"/{pick(['en', 'fr', 'de', 'es'])}/{int(rng.integers(1000))}", f"/{pick(_GOOD)}", f"/{pick(_SYLLABLES)}/{int(rng.integers(90))}"])
-        out.append((f"{pick(['http', 'https'])}://{host}{path}{pick(['', '/', '.html', '?page=2&ref=x', '#top'])}", int(bad)))
-    return out
+def labelled_urls() -> list[tuple[str, int]]:
+    """The labelled table that comes with the package, labelled_urls.csv."""
+    with (Path(__file__).parent / "labelled_urls.csv").open(encoding="utf-8", newline="") as f:
+        return [(r["url"], int(r["label"])) for r in csv.DictReader(f)]
 
 
 def score_urls(pages: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
@@ -141,6 +129,6 @@ def score_urls(pages: DataFrame, labelled: DataFrame | None = None) -> DataFrame
         table = labelled_urls()
     else:
         some = labelled.select("url", F.col("label").cast("int").alias("label")).filter("url is not null and label is not null")
-        table = [tuple(r) for r in some.orderBy(F.xxhash64("url"), "url").limit(TRAIN_ROWS).collect()]
+        table = [tuple(r) for r in some.orderBy(F.xxhash64("url"), "url", "label").limit(TRAIN_ROWS).collect()]
     weights, bias = train([u for u, _ in table], [y for _, y in table])
     return pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string")).mapInArrow(_scored(weights, bias), "page_id bigint, url string, host string, score double, unwanted boolean")
