@@ -4,10 +4,13 @@ import math
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from quernal.llm import op02_minhash, op03_decontam, op05_sharding, op07_warc, op09_packing, op10_suffix
+from quernal.llm.words import blocks
 
 from . import helpers as h
 
@@ -23,23 +26,49 @@ def near_texts():
     return [*out, out[3], out[3], "", "", "one two", "one two", "one  two", "."]
 
 
+def sharing(texts):
+    """Smallest ids of the components of all pairs that are equal, or share a table key and are near by comparison of word triples."""
+    signs = np.concatenate([op02_minhash.sides(b) for b in blocks(pa.array(texts))])
+    to = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            same = (signs[a] == signs[b]) & (signs[a] != 0)
+            meet = same[: op02_minhash.SIDES].any() and same[op02_minhash.SIDES :].any()
+            if texts[a] == texts[b] or meet and h.jaccard(texts[a], texts[b]) >= op02_minhash.THRESHOLD:
+                lo, hi = sorted((to[a], to[b]))
+                to = [lo if x == hi else x for x in to]
+    return {(i, g) for i, g in enumerate(to) if i != g}
+
+
 def test_near_dedup_against_all_pairs(spark):
     texts = near_texts()
     got = {tuple(r) for r in op02_minhash.groups(docs(spark, texts)).collect()}
+    assert got == sharing(texts)
     want = h.groups(list(enumerate(texts)), op02_minhash.THRESHOLD)
-    assert len(got & want) >= 0.9 * len(want) and len({i for i, _ in got} - {i for i, _ in want}) == 0
+    assert got <= want and len(got) >= 0.95 * len(want), "what banding may miss is a few per cent at the threshold"
     left = {r.doc_id for r in op02_minhash.drop_copies(docs(spark, texts)).collect()}
     assert left == set(range(len(texts))) - {i for i, _ in got}
 
 
+def test_near_dedup_of_three_whose_leader_is_far(spark):
+    """Every two share a key; only the last two, neither of them the bucket's leader, are near."""
+    shared = h.text(62, 1)
+    found = 0
+    for seed in range(12):
+        texts = [f"{shared} {h.text(40, 10 + seed)}", f"{shared} {h.text(15, 50 + seed)} {h.text(12, 70 + seed)}", f"{shared} {h.text(15, 50 + seed)} {h.text(14, 90 + seed)}"]
+        want = sharing(texts)
+        found += want == {(2, 1)}
+        if want == {(2, 1)} and found <= 2:
+            assert {tuple(r) for r in op02_minhash.groups(docs(spark, texts)).collect()} == want
+    assert found
+
+
 def test_near_dedup_bucket_of_several_groups(spark):
     """Many groups that share a passage meet in the same buckets; later rounds tell them apart."""
     shared = h.text(60, 1)
     bases = [f"{shared} {h.text(50, s)}" for s in range(2, 22)]
     texts = [h.changed(b, 0.01, 100 + k) for b in bases for k in range(6)]
-    got = {tuple(r) for r in op02_minhash.groups(docs(spark, texts)).collect()}
-    want = h.groups(list(enumerate(texts)), op02_minhash.THRESHOLD)
-    assert len(got & want) >= 0.9 * len(want)
+    assert {tuple(r) for r in op02_minhash.groups(docs(spark, texts)).collect()} == sharing(texts)
 
 
 def template_texts():
@@ -53,20 +82,8 @@ def template_texts():
 
 def test_near_dedup_compares_all_pairs_of_a_bucket(spark, monkeypatch):
     """Near copies in buckets whose leaders are all below THRESHOLD, in one block and in several."""
-    import numpy as np
-    import pyarrow as pa
-    from quernal.llm.words import blocks
-
     texts = template_texts()
-    signs = np.concatenate([op02_minhash.sides(b) for b in blocks(pa.array(texts))])
-    to = list(range(len(texts)))
-    for a in range(len(texts)):
-        for b in range(a):
-            same = signs[a] == signs[b]
-            if same[: op02_minhash.SIDES].any() and same[op02_minhash.SIDES :].any() and h.jaccard(texts[a], texts[b]) >= op02_minhash.THRESHOLD:
-                lo, hi = sorted((to[a], to[b]))
-                to = [lo if x == hi else x for x in to]
-    want = {(i, g) for i, g in enumerate(to) if i != g}
+    want = sharing(texts)
     assert len(want) >= 10
     for size in (op02_minhash.BLOCK, 7):
         monkeypatch.setattr(op02_minhash, "BLOCK", size)
@@ -79,6 +96,11 @@ def test_near_dedup_odd_rows(spark):
     left = op02_minhash.drop_copies(rows)
     assert left.columns == rows.columns
     assert sorted(str(r.doc_id) for r in left.collect()) == ["1", "2", "3", "4", "5", "9", "None", "None"]
+    clash = rows.selectExpr("*", "1 as gone", "2 as __twice", "3 as group_", "doc_id as row")
+    out = op02_minhash.drop_copies(clash)
+    assert out.columns == clash.columns and sorted(str(r.doc_id) for r in out.collect()) == ["1", "2", "3", "4", "5", "9", "None", "None"]
+    uneven = spark.createDataFrame([(1, "a b c", 5), (1, "a b c", 3), (1, None, 9), (1, "other words", 8)], h.DOCS + ", n int")
+    assert sorted(r.n for r in op02_minhash.drop_copies(uneven).collect()) == [3, 8, 9]
     assert op02_minhash.groups(h.empty(spark)).count() == 0 and op02_minhash.drop_copies(h.empty(spark)).count() == 0
 
 
@@ -160,8 +182,6 @@ def test_bit_parallel_subsequence_is_exact():
     r = random.Random(3)
     for _ in range(200):
         a, b = ([r.randrange(6) for _ in range(r.randrange(1, 30))] for _ in range(2))
-        import numpy as np
-
         assert op03_decontam.lcs(a, op03_decontam.masks_of(np.array(b)), len(b)) == h.lcs(a, b)
 
 
@@ -192,7 +212,18 @@ def test_records_round_trip_and_states(spark, data):
     assert op07_warc.reassemble(df.limit(0)).count() == 0
 
 
+def test_records_of_odd_pages(spark):
+    long = h.text(400_000, 5, 10**6)
+    rows = [(1, "http://a", "x"), (1, "http://a", "x"), (1, "http://a", None), (2, None, ""), (None, "http://b", "y"), (3, "http://c", long)]
+    pages = spark.createDataFrame([(*r, "o", "p") for r in rows], "page_id bigint, url string, html string, origin_id string, payload string")
+    got = sorted(((r.page_id, r.url, r.html, r.state) for r in op07_warc.round_trip(pages).collect()), key=str)
+    assert got == sorted([(1, "http://a", "x", "ok"), (1, "http://a", "", "ok"), (2, None, "", "ok"), (None, "http://b", "y", "ok"), (3, "http://c", long, "ok")], key=str)
+    assert op07_warc.round_trip(pages.limit(0)).count() == 0
+
+
 def test_chunked_framing_round_trip():
+    assert op07_warc.unchunked(b"3\r\nabc\r\n0\r\n") is None and op07_warc.unchunked(b"3\r\nabc\r\n0\r\nT: 1\r\n") is None
+    assert op07_warc.unchunked(b"3\r\nabc\r\n0\r\nT: 1\r\n\r\nmore") == op07_warc.unchunked(b"3\r\nabc\r\n0\r\n\r\n") == b"abc"
     for n in (0, 1, 699, 700, 5000, 100_000):
         body = random.Random(n).randbytes(n)
         assert op07_warc.unchunked(op07_warc.chunked(body)) == body
@@ -217,8 +248,77 @@ def test_packing_keeps_all_tokens_without_overlap(spark):
     assert op09_packing.windows(h.empty(spark)).count() == 0
 
 
+def test_combinations_beat_greedy_packing():
+    """Windows of one large and two middle pieces: longest first puts two large ones together and wastes the rest."""
+    unit, window = op09_packing.UNIT, op09_packing.WINDOW
+    bins = [52, 38, 38]
+    lengths = np.repeat(np.array(sorted(bins * 500, reverse=True)) * unit, 1)
+    mixes = op09_packing.combinations(window // unit)
+    histogram = np.bincount(lengths // unit, minlength=window // unit + 1)[1:].astype(float)
+    shares = op09_packing.solve(histogram, mixes)
+    counts = np.floor(shares * len(lengths) + 1e-9)
+    used = lambda c: op09_packing.pack(lengths, c, mixes, window, unit)[0].max() + 1
+    assert used(counts) <= 1.02 * 500 < 1.1 * 500 < used(np.zeros(len(mixes)))
+
+
+def plain_pack(lengths, counts, mixes, window, unit):
+    """The same rules, looking through all open windows for each piece."""
+    left = {b: [i for i, n in enumerate(lengths) if -(-n // unit) == b] for b in range(1, window // unit + 1)}
+    out = []
+    for k in sorted(range(len(mixes)), key=lambda k: -counts[k]):
+        for _ in range(int(counts[k])):
+            if any(len(left[b]) < mixes[k].count(b) for b in mixes[k]):
+                break
+            out.append([left[b].pop(0) for b in mixes[k]])
+    fixed = len(out)
+    for b in sorted(left, reverse=True):
+        for i in left[b]:
+            room = [window // unit - sum(-(-lengths[j] // unit) for j in w) for w in out[fixed:]]
+            fit = [k for k, r in enumerate(room) if r >= b]
+            if fit:
+                out[fixed + min(fit, key=lambda k: room[k])].append(i)
+            else:
+                out.append([i])
+    return out
+
+
+def test_packing_against_plain_packing():
+    r = random.Random(4)
+    for window, unit in ((640, 64), (1024, 64)):
+        mixes = op09_packing.combinations(window // unit)
+        for _ in range(10):
+            lengths = sorted((r.randrange(1, window + 1) for _ in range(120)), reverse=True)
+            histogram = np.bincount([-(-n // unit) for n in lengths], minlength=window // unit + 1)[1:].astype(float)
+            counts = np.floor(op09_packing.solve(histogram, mixes) * len(lengths) + 1e-9)
+            where, offset = op09_packing.pack(np.array(lengths), counts, mixes, window, unit)
+            want = plain_pack(lengths, counts, mixes, window, unit)
+            # of windows with the same room either may be taken, so what they hold is compared by its bins
+            full = lambda w: sum(-(-lengths[i] // unit) for i in w)
+            assert len(want) == where.max() + 1 and sorted(map(full, want)) == sorted(full(np.flatnonzero(where == k)) for k in range(where.max() + 1))
+            for k in range(where.max() + 1):
+                mine = sorted((offset[i], lengths[i]) for i in np.flatnonzero(where == k))
+                assert all(a + n == b for (a, n), (b, _) in zip(mine, mine[1:], strict=False)) and mine[0][0] == 0 and sum(mine[-1]) <= window
+
+
+def test_least_squares_of_production_size_is_at_its_least():
+    """Rounds and sizes as in production: no coordinate that could move lowers the distance by more than a trifle."""
+    r = np.random.default_rng(3)
+    bins = op09_packing.WINDOW // op09_packing.UNIT
+    mixes = op09_packing.combinations(bins)
+    for shape in (r.random(bins), np.exp(-np.arange(bins) / 20.0), (np.arange(bins) % 7 == 3) * 1.0):
+        a = np.zeros((bins, len(mixes)))
+        for k, m in enumerate(mixes):
+            np.add.at(a[:, k], np.array(m) - 1, 1)
+        share = shape / shape.sum()
+        row = np.where(np.arange(bins) >= bins // 2, op09_packing.WEIGHT, 1.0)
+        x = op09_packing.solve(shape, mixes)
+        best = op09_packing.nnls(a * row[:, None], share * row, 20_000)
+        far = lambda x: np.linalg.norm((a @ x - share) * row)
+        assert (x >= 0).all() and far(x) <= far(best) + 0.01 * np.linalg.norm(share * row)
+
+
 def test_least_squares_against_a_grid():
-    import numpy as np
+
 
     r = np.random.default_rng(1)
     a, b = r.random((6, 3)), r.random(6)
@@ -272,6 +372,26 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert sizes == {i: len(t.encode()) + 1 for i, t in kept["secret_scan"].items() if t}
 
 
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    """Nulls, empty and very long texts, repeats, clashing column names, and no rows at all, through every stage."""
+    import corpus_pipeline as cp
+
+    spark.createDataFrame([(0, h.text(25, 900)), (None, None), (1, "")], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    long = h.text(60_000, 98, 10**6)
+    rows = h.odd(spark, [(6, long), (6, long), (None, "a text without an id"), (None, h.text(25, 900)), (7, "ok " + h.token())]).selectExpr("*", "1 as gone", "2 as __gone", "3 as row", "4 as leaky", "'z' as window", "cast(length(text) as bigint) as n_chars")
+    left = {"quality_rules": 12, "near_dedup": 10, "decontamination": 9, "secret_scan": 9}
+    for name, stage in cp.STAGES[:-1]:
+        none = stage(spark, rows.limit(0), str(tmp_path))
+        assert none.count() == 0 and none.columns == rows.columns
+        out = stage(spark, rows, str(tmp_path))
+        assert out.columns == rows.columns and out.dtypes == rows.dtypes
+        out.write.parquet(str(tmp_path / name))
+        rows = spark.read.parquet(str(tmp_path / name))
+        assert rows.count() == left[name], name
+    packed = cp.STAGES[-1][1](spark, rows, str(tmp_path))
+    assert packed.select("doc_id").distinct().count() == 6 and cp.STAGES[-1][1](spark, rows.limit(0), str(tmp_path)).count() == 0
+
+
 def test_pipeline_keeps_the_given_clean_documents(spark, data):
     import corpus_pipeline as cp
 

@@ -1,9 +1,16 @@
 """Quality rules, secret scans, URL filters and chat formatting."""
 
+import base64
 import json
+import math
+import random
 import re
+import string
+import zlib
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
@@ -64,11 +71,94 @@ def test_secrets_match_brute_force_without_prefilter(spark, data):
     assert got == expected and got
 
 
+def crc_ok(s):
+    digits = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    n, body = 0, s.split("_")[-1]
+    for c in body[-6:]:
+        n = n * 62 + digits.index(c)
+    return n == zlib.crc32(body[:-6].encode())
+
+
+def aws_ok(s):
+    n = 0
+    for c in s[4:]:
+        n = n * 32 + "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567".index(c)
+    return (n >> 39 & 2**40 - 1) < 10**12
+
+
+def jwt_ok(s):
+    try:
+        head = json.loads(base64.urlsafe_b64decode(s.split(".")[0] + "==="))
+    except ValueError:
+        return False
+    return isinstance(head, dict) and "alg" in head
+
+
+def entropy(s):
+    return -sum(s.count(c) / len(s) * math.log2(s.count(c) / len(s)) for c in set(s))
+
+
+#: Written apart from the operator: by rule, expression (tried at every position, group 1 the secret) and the checksum's state, None for no finding.
+EXPECTED = {
+    "github-token": (r"\b(gh[pousr]_[0-9A-Za-z]{36})(?![\w-])", lambda s: "valid" if crc_ok(s) else "invalid"),
+    "github-fine-grained": (r"\b(github_pat_[0-9A-Za-z]{22}_[0-9A-Za-z]{59})(?![\w-])", lambda s: "none"),
+    "npm-token": (r"\b(npm_[0-9A-Za-z]{36})(?![\w-])", lambda s: "valid" if crc_ok(s) else "invalid"),
+    "gitlab-token": (r"\b(glpat-[\w-]{20,})", lambda s: "none"),
+    "aws-access-key": (r"\b(A[KS]IA[2-7A-Z]{16})(?![\w-])", lambda s: "valid" if aws_ok(s) else "invalid"),
+    "google-api-key": (r"\b(AIza[\w-]{35})(?![\w-])", lambda s: "none"),
+    "slack-token": (r"\b(xox[abprs]-[0-9A-Za-z-]{20,})(?![\w-])", lambda s: "none"),
+    "stripe-key": (r"\b((?:sk_live|rk_live|sk_test)_[0-9A-Za-z]{16,})(?![\w-])", lambda s: "none"),
+    "pypi-token": (r"\b(pypi-[\w-]{50,})", lambda s: "valid" if len(s[5:]) % 4 != 1 and b"pypi.org" in base64.urlsafe_b64decode(s[5:] + "===")[:16] else "invalid"),
+    "json-web-token": (r"\b(eyJ[\w-]{8,}\.eyJ[\w-]{4,}\.[\w-]{16,})", lambda s: "valid" if jwt_ok(s) else "invalid"),
+    "assigned-secret": (r"""(?i:token|secret|password|passwd|api[_-]?key|access_key|auth_key|private_key)[A-Za-z_-]*["']?[ \t]*(?:=>|:=|=|:)[ \t]*["']?([0-9A-Za-z+/_.=~-]{16,})""", lambda s: "none" if entropy(s) >= 3 and re.search("[0-9]", s) and re.search("[A-Za-z]", s) else None),
+}
+
+
+def plain_findings(text):
+    """(start, end, rule, state) of all rules at all positions, overlaps resolved by looking at all pairs."""
+    found = set()
+    for name, (pattern, state) in EXPECTED.items():
+        for at in range(len(text)):
+            m = re.compile(pattern, re.A).match(text, at)
+            if m and (s := state(m[1])):
+                found.add((m.start(1), m.end(1), list(EXPECTED).index(name), s, name))
+    kept = []
+    for x in sorted(found, key=lambda x: (x[3] == "invalid", x[0], -x[1], x[2])):
+        if all(x[1] <= y[0] or y[1] <= x[0] for y in kept):
+            kept.append(x)
+    return {(x[0], x[1] - x[0], x[4], x[3]) for x in kept}
+
+
+def test_secrets_against_expressions_of_their_own(spark, data):
+    """Every rule, right and wrong checksums, lengths at and beside their bounds, neighbours that end a match, secrets inside assignments."""
+    r = random.Random(8)
+    some = lambda n, of=string.ascii_letters + string.digits: "".join(r.choices(of, k=n))
+    url64 = lambda raw: base64.urlsafe_b64encode(raw).decode().rstrip("=")
+    aws = lambda account: "AKIA" + base64.b32encode((account << 7 | 1 << 47).to_bytes(6, "big") + r.randbytes(4)).decode()
+    made = [h.token(), h.token(good=False), h.token("npm_"), h.token("npm_", good=False), h.token("ghs_", some(30)), h.token(body=some(29)), h.token(body=some(31)), aws(123456789012), aws(10**12 + 5), aws(7)[:-1], aws(7) + "A"]
+    made += [f"github_pat_{some(22)}_{some(n)}" for n in (58, 59, 60)] + [f"glpat-{some(n)}" for n in (19, 20, 90)] + [f"AIza{some(n)}" for n in (34, 35, 36)] + [f"xoxb-{some(n)}" for n in (19, 20, 400)] + [f"sk_live_{some(n)}" for n in (15, 16, 300)]
+    made += ["pypi-" + url64(b"\x02\x01\x08pypi.org" + r.randbytes(n)) for n in (26, 27, 1400)] + ["pypi-" + url64(r.randbytes(60)), f"eyJ{some(7)}.eyJ{some(4)}.{some(16)}", f"{url64(b'{\"alg\":\"x\"}')}.eyJ{some(4)}.{some(15)}", f"{url64(b'{\"alg\":\"x\"}')}.eyJ{some(4)}.{some(16)}", f"{url64(b'{\"typ\":\"x\"}')}.eyJ{some(9)}.{some(20)}"]
+    made += [f"{k} {sep} {some(n)}" for k in ("token", "My_Secret", "API-KEY", "db_password") for sep in ("=", ":", ":=", "=>", "->") for n in (15, 16, 17, 600)] + ["password = " + "a1" * 12, "secret = " + "abcdefghijklmnopqrst", "secret = 12345678901234567890"]
+    made += [f'token = "{h.token(good=False)}"', f"secret: {h.token()}", f"token={h.token(body=some(30), good=False)}.{some(8)}", f"api_key = {aws(10**12 + 9)}"]
+    texts = [x for m in made for x in (m, f"é {m}, {m}", f"x{m}", f"{m}-", f"({m})")]
+    docs = spark.createDataFrame(list(enumerate(texts)), h.DOCS).unionByName(spark.read.parquet(f"{data}/documents.parquet").selectExpr("doc_id + 100000", "text").toDF("doc_id", "text").filter("length(text) < 20000"))
+    got, found = {}, set()
+    for x in op04_secrets.findings(docs).collect():
+        got.setdefault(x.doc_id, set()).add((x.start, x.length, x.rule, x.checksum))
+        found.add((x.rule, x.checksum))
+    for d in docs.collect():
+        assert {x for x in got.get(d.doc_id, set()) if x[2] != "private-key"} == plain_findings(d.text), d.text[:200]
+    assert {rule for rule, _ in found} >= set(EXPECTED) and len(found) >= 15
+    clean = {x.doc_id: x.text for x in op04_secrets.redact(docs.filter("doc_id < 100000")).collect()}
+    for i, t in enumerate(texts):
+        want = t
+        for start, n, rule, state in sorted(plain_findings(t), reverse=True):
+            want = want if state == "invalid" else f"{want[:start]}[SECRET:{rule}]{want[start + n :]}"
+        assert clean[i] == want
+
+
 def test_secrets_of_any_length(spark):
     """Longer than the bounds the expressions once had: found to their last character, and redacted whole."""
-    import base64
-    import random
-
     r = random.Random(5)
     value = "".join(r.choices("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789", k=30_000))
     url64 = lambda raw: base64.urlsafe_b64encode(raw).decode().rstrip("=")
@@ -102,25 +192,95 @@ def test_json_web_token():
     assert op04_secrets._jwt(b"eyJxxxx.eyJhIjoxfQ.x") == "invalid"
 
 
+HELD_OUT = """
+0 https://www.cityofhartwell.gov/departments/public-works/road-closures
+0 https://library.northfield.edu/catalogue/search/authors
+0 http://www.bird-watchers-club.org/sightings/2019/may
+0 https://docs.openmapping.org/en/stable/tutorial/projection.html
+0 https://recipes.kitchen-garden.net/soups/leek-and-potato
+0 https://www.weatherarchive.org/stations/helsinki/1998
+0 http://physics.westbrook.ac.uk/people/staff/lecture-notes
+0 https://museum.lakedistrict.org/exhibitions/steam-engines
+0 https://www.dailyherald-online.com/news/local/school-board-meeting
+0 https://en.encyclopedia-free.org/wiki/Glacier
+0 https://blog.gardening-notes.net/pruning-apple-trees
+0 https://forum.woodworkers.org/threads/dovetail-joints
+0 https://hospital.stjohns.org/patients/visiting-hours
+0 https://railway-history.net/lines/branch/1887
+0 https://www.chess-federation.org/tournaments/results
+1 http://best-online-casino-bonus.com/slots/jackpot
+1 http://cheap-viagra-pills-store.net/buy/now
+1 https://free-xxx-cam-girls.net/live
+1 http://poker-bets-win-prize.info/free/bonus
+1 http://payday-loan-quick-cash.com/apply
+1 https://adult-dating-hot.net/members
+1 http://cracked-keygen-torrent.org/download/full
+1 http://replica-watch-cheap.com/rolex
+1 http://seo-backlink-farm.net/buy-traffic
+1 http://crypto-giveaway-free.info/claim
+1 http://casino777-spin.com/slot-games
+1 http://pharma-meds-no-prescription.com/tablets
+1 https://porn-tube-free.net/videos
+1 http://click-popup-ads-track.com/go
+1 http://betting-odds-win-big.com/football/tips
+"""
+
+
 def test_url_filter_held_out_accuracy(spark):
-    test = op06_urls.labelled_urls(seed=77, size=600)
-    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(test)], "page_id bigint, url string")
+    """On addresses written by hand, none of them from the rule that made most of the labelled table."""
+    table = [line.split() for line in HELD_OUT.split("\n") if line]
+    assert not {u for _, u in table} & {u for u, _ in op06_urls.labelled_urls()}
+    pages = spark.createDataFrame([(i, u) for i, (_, u) in enumerate(table)], "page_id bigint, url string")
     got = {r.page_id: r.unwanted for r in op06_urls.score_urls(pages).collect()}
-    assert sum(got[i] == bool(y) for i, (_, y) in enumerate(test)) >= 0.95 * len(test)
+    wrong = [u for i, (y, u) in enumerate(table) if got[i] != (y == "1")]
+    assert len(wrong) <= 3, wrong
+
+
+def plain_score(url, weights, bias):
+    """The score by a loop over characters, in whole numbers modulo 2 ** 64."""
+    mask = 2**64 - 1
+
+    def mix(x):
+        for _ in range(2):
+            x ^= x >> 32
+            x = x * 0xD6E8FEB86659FD93 & mask
+        return x ^ x >> 32
+
+    host, path = re.match(r"(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)(?::[0-9]*)?([^?#]*)", url.lower()).groups()
+    total, n = 0.0, 0
+    for part, salt in zip((host, path), op06_urls._SALTS, strict=True):
+        chars = f"^{part}$"
+        for size in op06_urls.SIZES:
+            for at in range(len(chars) - size + 1):
+                h = sum(mix(ord(c) * salt & mask) * pow(0xF1357AEA2E62A9C5, k, 2**64) for k, c in enumerate(chars[at : at + size])) & mask
+                total, n = total + weights[mix(h) % op06_urls.DIMENSIONS], n + 1
+    return total / math.sqrt(max(n, 1)) + bias
 
 
 def test_url_scores_match_a_plain_loop(spark):
-    table = op06_urls.labelled_urls(size=90)
+    table = op06_urls.labelled_urls()
     weights, bias = op06_urls.train([u for u, _ in table], [y for _, y in table])
-    urls = ["http://casino-win.example.com/a/b?x#y", "https://u:p@Host.org:80/ä", "http://h"]
-    import numpy as np
-    import pyarrow as pa
+    urls = ["http://casino-win.example.com/a/b?x#y", "https://u:p@Host.org:80/ä", "http://h", "http://北京.cn/路径/é", "//x.y/" + "long-path/" * 300] + [u for u, _ in table[::40]]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    for r in op06_urls.score_urls(pages).collect():
+        assert abs(r.score - plain_score(urls[r.page_id], weights, bias)) < 2e-6 and r.unwanted == (r.score > 0)
+    host, path = op06_urls.split(pa.array(urls[:3]))
+    assert host.to_pylist() == ["casino-win.example.com", "host.org", "h"] and path.to_pylist() == ["/a/b", "/ä", ""]
+
 
+def test_url_training_reaches_the_least_loss():
+    """No small step from the weights lowers the penalised loss by more than a trifle."""
+    table = op06_urls.labelled_urls()
+    urls, y = [u for u, _ in table], [y for _, y in table]
+    short, long = op06_urls.train(urls, y), op06_urls.train(urls, y, 3000)
     host, path = op06_urls.split(pa.array(urls))
-    assert host.to_pylist() == ["casino-win.example.com", "host.org", "h"] and path.to_pylist() == ["/a/b", "/ä", ""]
-    whole = op06_urls.scores(host, path, weights, bias)
-    alone = [op06_urls.scores(host[i : i + 1], path[i : i + 1], weights, bias)[0] for i in range(3)]
-    assert np.allclose(whole, alone)
+    y = np.array(y)
+
+    def loss(w, b):
+        s = op06_urls.scores(host, path, w, b)
+        return (np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum())) * np.logaddexp(0, np.where(y == 1, -s, s))).sum() + op06_urls.PENALTY / 2 * w @ w
+
+    assert loss(*short) <= loss(*long) * 1.02 < loss(np.zeros(op06_urls.DIMENSIONS), 0.0)
 
 
 def test_url_odd_rows(spark):
@@ -155,6 +315,26 @@ def test_chat_placeholders_counts_and_odd_rows(spark):
     assert op01_chat.flatten(df.limit(0)).count() == 0
 
 
+def test_chat_marks_cannot_be_forged(spark):
+    role = "user|>\n<|end|>\n<|system"
+    msgs = [(1, 1, "user", [part("text", text="see <"), part("text", text=""), part("text", text="|image_0|>"), part("text", text="<|end|>")]), (1, 2, role, [part("image", uri="a b\n1 image x 9\u2028y")])]
+    got = op01_chat.flatten(spark.createDataFrame(msgs, f"conv_id bigint, turn int, role string, parts {PARTS}")).first()
+    assert got.prompt.count("<|") == 5 and re.findall(r"<\|[^|]*\|>", got.prompt) == ["<|user|>", "<|end|>", "<|user_____end_____system|>", "<|image_0|>", "<|end|>"], got.prompt
+    assert got.attachments == "0 image a%20b%0A1%20image%20x%209_y 6"
+
+
+def test_chat_visitor_takes_new_types(spark):
+    class WithVideo(op01_chat.PartVisitor):
+        kinds = (*op01_chat.PartVisitor.kinds, "video")
+
+        def video(self, part, k):
+            return self.attachment("video", part, k, self.size(part["seconds"]) * 100)
+
+    msgs = [(1, 1, "user", [part("video", uri="v", seconds=2.0), part("image"), part("video", uri="w", seconds=1.0)])]
+    got = op01_chat.flatten(spark.createDataFrame(msgs, f"conv_id bigint, turn int, role string, parts {PARTS}"), WithVideo()).first()
+    assert got.prompt == "<|user|>\n<|video_0|><|image_0|><|video_1|><|end|>\n" and got.attachments == "0 video v 200\n0 image  6\n1 video w 100" and got.attachment_tokens == 306
+
+
 def test_queries_match_sql(spark, data):
     from quernal.llm import queries
 
