@@ -101,16 +101,21 @@ class Postings:
         self.item = np.repeat(np.arange(len(items)), [len(i.kinds) for i in items])[order]
         self.count = np.concatenate([np.zeros(0, np.int64), *(i.counts for i in items)])[order]
         self.need = np.array([math.ceil(PARAPHRASE * i.size - 1e-9) for i in items])
+        self.kinds = [np.searchsorted(self.terms, i.kinds) for i in items]
         self.present = np.zeros(1 << 16, dtype=bool)
         self.present[(self.terms >> np.uint64(48)).astype(np.int64)] = True
 
-    def candidates(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and items such that the row has `need` of the item's words, order and repeats aside."""
+    def hits(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of words of the items, and which term each is."""
         at = np.flatnonzero(self.present[(w.hash >> np.uint64(48)).astype(np.int64)])
         k = np.minimum(np.searchsorted(self.terms, w.hash[at]), len(self.terms) - 1)
         ok = self.terms[k] == w.hash[at]
-        row = np.searchsorted(w.first, at[ok], "right") - 1
-        pair = np.unique(row * len(self.terms) + k[ok])
+        return at[ok], k[ok]
+
+    def candidates(self, w: Words, at: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and items such that the row has `need` of the item's words, order and repeats aside."""
+        row = np.searchsorted(w.first, at, "right") - 1
+        pair = np.unique(row * len(self.terms) + k)
         row, k = pair // len(self.terms), pair % len(self.terms)
         n = self.first[k + 1] - self.first[k]
         post = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - self.first[k], n)
@@ -197,35 +202,31 @@ def lcs(a: list[int], masks: dict[int, int], size: int) -> int:
     return size - v.bit_count()
 
 
-def possible(part: np.ndarray, item: Item, starts: np.ndarray, span: int) -> np.ndarray:
-    """Which stretches part[s : s + span] share enough words with the item, order aside: a bound on the subsequence."""
-    least = PARAPHRASE * item.size
-    k = np.minimum(np.searchsorted(item.kinds, part), len(item.kinds) - 1)
-    hit = np.flatnonzero(item.kinds[k] == part)
-    k = k[hit]
-    if np.minimum(np.bincount(k, minlength=len(item.kinds)), item.counts).sum() < least:
-        return np.zeros(len(starts), dtype=bool)
-    lo, hi = np.searchsorted(hit, starts), np.searchsorted(hit, starts + span)
-    out = hi - lo >= least
-    some = np.flatnonzero(out)
-    if len(some):
-        seen = np.zeros((len(hit) + 1, len(item.kinds)), np.int32)
-        seen[np.arange(1, len(hit) + 1), k] = 1
-        np.cumsum(seen, axis=0, out=seen)
-        out[some] = np.minimum(seen[hi[some]] - seen[lo[some]], item.counts).sum(axis=1) >= least
-    return out
-
+def possible(item: Item, at: np.ndarray, k: np.ndarray, starts: np.ndarray, span: int) -> np.ndarray:
+    """Which of the stretches of `span` words from `starts` share enough words with the item, order aside: a bound on the subsequence.
 
-def matched(text: np.ndarray, item: Item, tiles: np.ndarray) -> tuple[int, bool, bool]:
-    """The best (common words, verbatim, accepted) over the stretches of `text` that begin at the given tiles, in ascending order."""
+    at: positions of the text's words; k: the number of each among the item's distinct words, -1 for other words.
+    """
+    least = PARAPHRASE * item.size
+    hit = np.flatnonzero(k >= 0)
+    at, k = at[hit], k[hit]
+    lo, hi = np.searchsorted(at, starts), np.searchsorted(at, starts + span)
+    some = np.flatnonzero(hi - lo >= least)
+    if not len(some):
+        return starts[:0]
+    a, b = lo[some[0]], hi[some[-1]]
+    seen = np.zeros((b - a + 1, len(item.kinds)), np.int32)
+    seen[np.arange(1, b - a + 1), k[a:b]] = 1
+    np.cumsum(seen, axis=0, out=seen)
+    return starts[some[np.minimum(seen[hi[some] - a] - seen[lo[some] - a], item.counts).sum(axis=1) >= least]]
+
+
+def matched(text: np.ndarray, item: Item, starts: np.ndarray, span: int) -> tuple[int, bool, bool]:
+    """The best (common words, verbatim, accepted) over the stretches of `text` from the given places."""
     n = item.size
-    span = math.ceil(STRETCH * n) + TILE
     best = (0, False, False)
-    lo = int(tiles[0]) * TILE
-    region = text[lo : int(tiles[-1]) * TILE + span]
-    starts = tiles * TILE - lo
-    for s in starts[possible(region, item, starts, span)].tolist():
-        part = region[s : s + span].tolist()
+    for s in starts.tolist():
+        part = text[s : s + span].tolist()
         common = lcs(part, item.masks, n)
         near = common >= NEAR * n
         ok = near or common >= PARAPHRASE * n and 2 * len(item.answer & set(part)) >= len(item.answer)
@@ -243,6 +244,8 @@ class Search:
         self.long = [i for i in items if i.size >= SHORT]
         self.short = [i for i in items if i.size < SHORT]
         self.postings = Postings(self.long)
+        self.number = np.full(len(self.postings.terms), -1)
+        self.back = np.array([math.ceil(STRETCH * i.size / TILE) for i in self.long], np.int64)
         q = np.array([vectors[column(i.words)].sum(axis=0) for i in self.long]).reshape(len(self.long), -1)
         self.queries = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
 
@@ -257,20 +260,25 @@ class Search:
         s /= np.maximum(np.sqrt(np.einsum("ijk,ijk->ij", s, s)), 1e-12)[:, :, None]
         return s
 
-    def row(self, h: np.ndarray, items: np.ndarray) -> Iterator[tuple[Item, int, bool]]:
-        """The items of those given that a text leaks, by retrieval and checks."""
+    def row(self, h: np.ndarray, at: np.ndarray, term: np.ndarray, items: np.ndarray) -> Iterator[tuple[Item, int, bool]]:
+        """The items of those given that a text leaks, by retrieval and checks; at, term: the text's words that any item has."""
         close = self.windows(h) @ self.queries[items].T >= COSINE
         tiles = close.shape[1]
-        for j, k in enumerate(items.tolist()):
-            item = self.long[k]
-            edge = np.zeros(tiles + 1, np.int64)
-            for n, hits in zip(WINDOWS, close[:, :, j], strict=True):
-                t = np.flatnonzero(hits)
-                np.add.at(edge, np.maximum(t - math.ceil(STRETCH * item.size / TILE), 0), 1)
-                np.add.at(edge, np.minimum(t + n, tiles), -1)
-            wanted = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
-            if len(wanted):
-                common, near, ok = matched(h, item, wanted)
+        edge = np.zeros((tiles + 1) * len(items), np.int32)
+        for n, hits in zip(WINDOWS, close, strict=True):
+            t, j = np.nonzero(hits)
+            np.add.at(edge, np.maximum(t - self.back[items[j]], 0) * len(items) + j, 1)
+            np.add.at(edge, np.minimum(t + n, tiles) * len(items) + j, -1)
+        wanted = np.cumsum(edge.reshape(tiles + 1, -1)[:-1], axis=0) > 0
+        for j in np.flatnonzero(wanted.any(axis=0)).tolist():
+            item = self.long[items[j]]
+            span = math.ceil(STRETCH * item.size) + TILE
+            kinds = self.postings.kinds[items[j]]
+            self.number[kinds] = np.arange(len(kinds))
+            starts = possible(item, at, self.number[term], np.flatnonzero(wanted[:, j]) * TILE, span)
+            self.number[kinds] = -1
+            if len(starts):
+                common, near, ok = matched(h, item, starts, span)
                 if ok:
                     yield item, common, near
 
@@ -280,11 +288,13 @@ class Search:
         if not len(w.hash):
             return
         if self.long:
-            rows, items = self.postings.candidates(w)
+            at, term = self.postings.hits(w)
+            rows, items = self.postings.candidates(w, at, term)
             edges = [*np.flatnonzero(np.diff(rows, prepend=-1)).tolist(), len(rows)]
             for a, b in itertools.pairwise(edges):
                 r = int(rows[a])
-                for found in self.row(w.hash[w.first[r] : w.first[r + 1]], items[a:b]):
+                lo, hi = np.searchsorted(at, w.first[r : r + 2])
+                for found in self.row(w.hash[w.first[r] : w.first[r + 1]], at[lo:hi] - w.first[r], term[lo:hi], items[a:b]):
                     yield r, *found
         for n in {i.size for i in self.short}:
             g = grams(w.hash, n)
