@@ -4,9 +4,9 @@ A document's hash is the first BITS bits of the MD5 of its doc_id (of its text w
 as the empty prefix that holds everything, and a bucket over its byte limit is split on the next bit, and only such buckets are. A bucket is final when its
 texts' UTF-8 bytes fit `limit`, or when it holds one single hash, which no bit can split; such a shard may be over the limit and is marked so.
 
-Sizes are summed once, by the longest prefix that is likely to be needed; the directory of all shorter prefixes follows from those sums,
-not from the documents. Prefixes still over the limit at that depth are summed again, deeper, from their own documents alone. The directory, (depth, prefix),
-is a table and joined to the documents by their prefix: it is as long as there are shards, and Spark broadcasts it only if it is small.
+Sizes are summed once, by the longest prefix that is likely to be needed; those of shorter prefixes follow level by level, each from the one below it. In
+the directory every prefix of that depth, some 2 ** (SPARE + 1) a shard at most, points to its bucket; it is joined to the documents by their prefix, and Spark
+broadcasts it only if it is small. Prefixes still over the limit at that depth are summed again, deeper, from their own documents alone.
 
 Defined cases: null and empty texts have 0 bytes and are placed all the same. Rows that repeat a doc_id share a hash, so a shard. An empty
 table has no shards. Empty halves of split buckets have no row. Extra columns are not read.
@@ -15,6 +15,7 @@ table has no shards. Empty halves of split buckets have no row. Extra columns ar
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,27 +39,30 @@ def place(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     sized = cut(sized)
     total = sized.agg(F.coalesce(F.sum("doc_bytes"), F.lit(0))).first()[0]
     depth = min(BITS, max(0, math.ceil(math.log2(max(1, total / limit)))) + SPARE)
-    done, low, open_docs = None, 0, sized
+    placed, low, rest = None, 0, sized
     while True:
-        cells = open_docs.groupBy(F.expr(_prefix("h", str(depth))).alias("cell")).agg(F.sum("doc_bytes").alias("bytes"), F.min("h").alias("lo"), F.max("h").alias("hi"))
-        levels = cells.select(F.explode(F.sequence(F.lit(low), F.lit(depth))).alias("depth"), "cell", "bytes", "lo", "hi")
-        nodes = levels.groupBy("depth", F.expr(f"shiftright(cell, {depth} - depth)").alias("prefix")).agg(F.sum("bytes").alias("bytes"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        nodes = cut(nodes.withColumn("final", (F.col("bytes") <= limit) | (F.col("lo") == F.col("hi")) | (F.col("depth") == BITS)))
+        cell = F.expr(_prefix("h", str(depth))).alias("prefix")
+        level = cut(rest.groupBy(cell).agg(F.sum("doc_bytes").alias("bytes"), F.min("h").alias("lo"), F.max("h").alias("hi")))
+        levels = [level.withColumn("depth", F.lit(depth))]
+        for d in range(depth - 1, low - 1, -1):
+            level = cut(level.groupBy(F.shiftright("prefix", 1).alias("prefix")).agg(F.sum("bytes").alias("bytes"), F.min("lo").alias("lo"), F.max("hi").alias("hi")))
+            levels.append(level.withColumn("depth", F.lit(d)))
+        nodes = reduce(DataFrame.union, levels).withColumn("final", (F.col("bytes") <= limit) | (F.col("lo") == F.col("hi")) | (F.col("depth") == BITS))
         up = nodes.select((F.col("depth") + 1).alias("depth"), F.col("prefix").alias("parent"), F.col("final").alias("above"))
         leaf = nodes.withColumn("parent", F.shiftright("prefix", 1)).join(up, ["depth", "parent"], "left").filter("final and not coalesce(above, false)")
-        leaf = leaf.select("depth", "prefix", F.col("bytes").alias("shard_bytes"))
+        # the directory: all prefixes of this depth point to their bucket
+        first = F.expr(f"shiftleft(prefix, {depth} - depth)")
+        pointers = F.explode(F.sequence(first, first + F.expr(f"shiftleft(1L, {depth} - depth)") - 1)).alias("cell")
+        directory = cut(leaf.select(pointers, "depth", "prefix", F.col("bytes").alias("shard_bytes")))
+        here = rest.withColumn("cell", cell).join(directory, "cell")
+        placed = here if placed is None else placed.unionByName(here)
         deepest = nodes.filter((F.col("depth") == depth) & ~F.col("final")).select(F.col("prefix").alias("cell"))
-        done = leaf if done is None else done.union(leaf)
         if depth == BITS or deepest.isEmpty():
             break
-        open_docs = cut(open_docs.join(deepest, F.expr(_prefix("h", str(depth))) == F.col("cell"), "left_semi"))
+        rest = cut(rest.join(deepest, F.expr(_prefix("h", str(depth))) == F.col("cell"), "left_semi"))
         low, depth = depth + 1, min(BITS, depth + SPARE)
-    directory = cut(done)
-    depths = sorted(r[0] for r in directory.select("depth").distinct().collect())
-    reach = F.explode(F.array(*[F.lit(d) for d in depths])) if depths else F.lit(0)
-    tried = sized.select("*", reach.alias("depth")).withColumn("prefix", F.expr(_prefix("h", "depth")))
     shard = F.when(F.col("depth") == 0, "").otherwise(F.expr("lpad(conv(prefix, 10, 2), depth, '0')")).alias("shard")
-    return tried.join(directory, ["depth", "prefix"]).select("doc_id", shard, "depth", "doc_bytes", "shard_bytes", (F.col("shard_bytes") > limit).alias("oversize"))
+    return placed.select("doc_id", shard, "depth", "doc_bytes", "shard_bytes", (F.col("shard_bytes") > limit).alias("oversize"))
 
 
 def oracle(limit: int = LIMIT) -> str:
