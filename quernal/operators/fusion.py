@@ -15,6 +15,7 @@ def fuse(legs: list[DataFrame], weights: tuple[float, ...] = WEIGHTS, constant:
     """query_id, key, rank, score: sums of weight / (constant + rank) over legs(query_id, key, rank).
 
     Ties go by the leg that names the key first, the rank there, then the key. A union and one aggregation: cheaper than a full outer join.
+    A key that a leg names twice counts twice: fused by a digest of the text, chunks of equal text are one.
     """
     every = reduce(DataFrame.unionByName, [leg.select("query_id", key, "rank", F.lit(i).alias("leg"), F.lit(float(w)).alias("w")) for i, (leg, w) in enumerate(zip(legs, weights, strict=True))])
     both = every.groupBy("query_id", key).agg(F.sum(F.col("w") / (F.col("rank") + constant)).alias("score"), F.min(F.struct("leg", "rank")).alias("first"))

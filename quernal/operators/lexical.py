@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernal.functions.text import tokens
+from quernal.session import cut
 
 K1, B, TOP = 1.5, 0.75, 10
+#: So many terms of queries go to all tasks at a time.
+BLOCK_TERMS = 500_000
+#: A term that no text can have, one for each document.
+MARK = "\u0001"
 
 
 @dataclass
@@ -46,17 +52,26 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def score(docs: DataFrame, queries: DataFrame, key: str = "doc_id", k1: float = K1, b: float = B) -> DataFrame:
-    """query_id, doc_id, score for every document that shares a term with a query.
+    """query_id, key, score for every document that shares a term with a query.
 
-    Only postings of query terms are made: the terms of a batch of queries meet the documents' tokens before
-    anything is shuffled, where Spark finds them small enough to broadcast.
+    One pass over the documents: the queries' terms, at most BLOCK_TERMS at a time, meet the documents' tokens before anything is shuffled, and a mark that
+    every document has beside its tokens carries its length, so that the corpus figures come from the same pass. Its result, postings of query terms
+    alone, is cut by a checkpoint as three aggregations read it.
     """
     wanted = query_terms(queries)
-    words = docs.select(F.col(key).alias("doc_id"), tokens(F.coalesce("text", F.lit(""))).alias("t")).withColumn("dl", F.size("t"))
-    stats = words.agg(F.count("*").alias("n_docs"), (F.coalesce(F.sum("dl"), F.lit(0)) / F.count("*")).alias("avgdl"))
-    found = words.select("doc_id", "dl", F.explode("t").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
-    postings = found.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    return _scored(postings, stats, wanted, k1, b)
+    terms = cut(wanted.select("term").distinct())
+    blocks = max(1, -(-terms.count() // BLOCK_TERMS))
+    words = docs.select(F.col(key).alias("doc_id"), tokens(F.coalesce("text", F.lit(""))).alias("t"))
+    words = words.select("doc_id", F.size("t").alias("dl"), F.explode(F.array_append("t", F.lit(MARK))).alias("term"))
+    parts = []
+    for k in range(blocks):
+        some = terms.filter(F.pmod(F.xxhash64("term"), F.lit(blocks)) == k)
+        some = some.union(terms.sparkSession.createDataFrame([(MARK,)], "term string")) if k == 0 else some
+        parts.append(words.join(F.broadcast(some), "term", "left_semi"))
+    postings = cut(reduce(DataFrame.union, parts).groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")))
+    mark = F.col("term") == MARK
+    stats = postings.filter(mark).agg(F.sum("tf").alias("n_docs"), (F.coalesce(F.sum(F.col("tf") * F.col("dl")), F.lit(0)) / F.sum("tf")).alias("avgdl"))
+    return _scored(postings.filter(~mark), stats, wanted, k1, b).withColumnRenamed("doc_id", key)
 
 
 def _scored(postings: DataFrame, stats: DataFrame, wanted: DataFrame, k1: float, b: float) -> DataFrame:

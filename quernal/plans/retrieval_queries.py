@@ -116,7 +116,7 @@ vec AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id
 def _vector(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     asked = table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id")).join(vectors.withColumnRenamed("doc_id", "query_id"), "query_id")
-    return vector.top(vector.score(vectors, asked))
+    return vector.nearest(vectors, asked)
 
 
 @register.query(f"WITH {_VECTOR} SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, round(score, 4) AS score FROM vec")
@@ -126,9 +126,10 @@ def vector_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 @register.query()
 def vector_topk_lsh(spark: SparkSession, folder: str) -> DataFrame:
-    """Approximate neighbours of every vector, by random projections."""
+    """Approximate neighbours, by random projections, of every vector whose id is divisible by 20, among all."""
     vectors = table(spark, folder, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    return vector.top(vector.approximate(vectors, vectors.withColumnRenamed("doc_id", "query_id")))
+    asked = vectors.filter("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
+    return vector.top(vector.approximate(vectors, asked))
 
 
 _FUSED = f"""{_BM25}, {_VECTOR},
@@ -142,19 +143,60 @@ def rrf_fusion(spark: SparkSession, folder: str) -> DataFrame:
     return fusion.fuse([_lexical(spark, folder), _vector(spark, folder)]).withColumn("score", F.round("score", 6))
 
 
-@register.query(f"WITH {_FUSED} SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, round(score, 6) AS score, source, text FROM fused JOIN documents USING (doc_id)")
+_CHUNKS = f"""{_FIXED}, f AS (SELECT *, {_FILE} AS file, CASE WHEN lang = 'fr' THEN 'news' ELSE 'raw' END AS folder FROM k), y AS (SELECT *, {_KIND} AS kind FROM f),
+chunks AS (SELECT doc_id * 10000 + chunk_no AS chunk, doc_id, source, kind, '[Context: ' || {sql_title("replace(kind, '_', ' ')")} || CASE WHEN lang <> 'en' THEN ' | About: ' || lang ELSE '' END || ' | Section: ' || source || ']' || chr(10) || text AS text FROM y
+WHERE NOT contains(lower(text), 'no projects found') AND NOT contains(lower(text), 'no public records found') AND length({sql_strip("replace(text, '-', '')")}) >= 50)"""
+
+_CHUNK_LEX = f"""d AS (SELECT chunk, {sql_tokens('text')} AS t FROM chunks),
+w AS (SELECT chunk, len(t) AS dl, unnest(t) AS term FROM d), s AS (SELECT count(*) AS n, coalesce(sum(len(t)), 0) / count(*) AS avgdl FROM d),
+q AS (SELECT DISTINCT item_id, unnest({sql_tokens('text')}) AS term FROM benchmark),
+p AS (SELECT term, chunk, any_value(dl) AS dl, count(*) AS tf FROM w WHERE term IN (SELECT term FROM q) GROUP BY term, chunk), n AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+m AS (SELECT item_id, chunk, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM p JOIN n USING (term) JOIN q USING (term), s GROUP BY item_id, chunk),
+lex AS (SELECT item_id AS query_id, chunk, score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, chunk) AS rank FROM m QUALIFY rank <= 10)"""
+
+_CHUNK_FUSED = f"""{_CHUNKS}, {_CHUNK_LEX}, e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), x AS (SELECT item_id AS query_id, v AS qv FROM benchmark JOIN e ON vec_id = item_id),
+cs AS (SELECT query_id, chunk, list_dot_product(v, qv) / nullif(sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(qv, qv)), 0) AS score FROM chunks JOIN e ON vec_id = doc_id, x),
+vec AS (SELECT query_id, chunk, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk) AS rank FROM cs WHERE score IS NOT NULL QUALIFY rank <= 10),
+u AS (SELECT query_id, chunk, rank, 0 AS leg, 0.6::DOUBLE AS w FROM lex UNION ALL SELECT query_id, chunk, rank, 1, 0.4::DOUBLE FROM vec),
+z AS (SELECT query_id, md5(text) AS text_key, sum(w / rank) AS score, min(leg * 1000 + rank) AS first, arg_min(chunk, (leg * 1000 + rank) * 1000000000000 + chunk) AS chunk FROM u JOIN chunks USING (chunk) GROUP BY query_id, md5(text)),
+fused AS (SELECT query_id, chunk, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, first, text_key) AS rank FROM z QUALIFY rank <= 15)"""
+
+
+def _chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents' chunks as they are indexed: filtered, with their context before the text."""
+    cut_ = _filed(chunking.fixed(table(spark, folder, "documents"))).filter(chunking.useful(F.col("text")))
+    about = F.when(F.col("lang") != "en", F.col("lang"))
+    text = chunking.with_prefix(F.col("text"), F.col("kind"), about, F.col("source"), F.lit(None).cast("string"))
+    return cut_.select((F.col("doc_id") * 10000 + F.col("chunk_no")).alias("chunk"), "doc_id", "source", "kind", text.alias("text"))
+
+
+def _chunk_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Both legs over chunks; a chunk has the vector of its document."""
+    chunks = _chunks(spark, folder)
+    vectors = table(spark, folder, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    asked = table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    wanted = asked.select("query_id").join(vectors.withColumnRenamed("doc_id", "query_id"), "query_id")
+    legs = [rag.lexical_leg(chunks, asked, key="chunk"), vector.nearest(chunks.select("chunk", "doc_id").join(vectors, "doc_id"), wanted, key="chunk")]
+    return rag.fused(chunks, legs, key="chunk")
+
+
+@register.query(f"WITH {_CHUNK_FUSED} SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk, round(score, 6) AS score, kind, source, text FROM fused JOIN chunks USING (chunk)")
 def hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents")
-    found = fusion.fuse([_lexical(spark, folder), _vector(spark, folder)])
-    return rag.fetch(found, docs).select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"), "source", "text")
+    return _chunk_search(spark, folder).select("query_id", "rank", "chunk", F.round("score", 6).alias("score"), "kind", "source", "text")
+
+
+@register.query(f"""WITH {_FUSED}, l AS (SELECT query_id, doc_id, sum(w / (60 + rank)) AS s, min(leg * 1000 + rank) AS f FROM u GROUP BY query_id, doc_id)
+SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, f, doc_id) AS INTEGER) AS rank, round(s, 6) AS score FROM l QUALIFY rank <= 15""")
+def legacy_ensemble(spark: SparkSession, folder: str) -> DataFrame:
+    """The older ensemble: the same legs and weights with the constant of reciprocal rank fusion."""
+    return fusion.fuse([_lexical(spark, folder), _vector(spark, folder)], constant=60.0).withColumn("score", F.round("score", 6))
 
 
-@register.query(f"""WITH {_FUSED}, t AS (SELECT query_id, string_agg('[' || rank || '] ' || d.text, chr(10) || chr(10) ORDER BY rank) AS context FROM fused JOIN documents d USING (doc_id) GROUP BY query_id)
-SELECT item_id AS query_id, coalesce(context, '') AS context, 'Use the context to answer.' || chr(10) || chr(10) || 'Context:' || chr(10) || coalesce(context, '') || chr(10) || chr(10) || 'Question: ' || {sql_strip("translate(text, '''\"', '')")} AS prompt FROM benchmark LEFT JOIN t ON query_id = item_id""")
+@register.query(f"""WITH {_CHUNK_FUSED}, t AS (SELECT query_id, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS context FROM fused JOIN chunks USING (chunk) GROUP BY query_id)
+SELECT item_id AS query_id, coalesce(context, '') AS context, 'Use the context to answer.' || chr(10) || chr(10) || 'Context:' || chr(10) || coalesce(context, '') || chr(10) || chr(10) || 'Question: ' || text AS prompt FROM benchmark LEFT JOIN t ON query_id = item_id""")
 def context_assembly(spark: SparkSession, folder: str) -> DataFrame:
     asked = table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    found = fusion.fuse([_lexical(spark, folder), _vector(spark, folder)])
-    return rag.prompts(rag.fetch(found, table(spark, folder, "documents")), asked, "Use the context to answer.")
+    return rag.prompts(_chunk_search(spark, folder), asked, "Use the context to answer.")
 
 
 @register.query("""
@@ -200,8 +242,10 @@ def file_categories(spark: SparkSession, folder: str) -> DataFrame:
     return _filed(table(spark, folder, "documents")).groupBy(evaluate.category(F.col("file")).alias("topic")).agg(F.count("*").alias("n"))
 
 
-@register.query("""SELECT doc_id, text, 'new' AS version FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, text, 'old' FROM documents WHERE doc_id % 3 = 1""")
+@register.query("""SELECT doc_id, text, CASE WHEN doc_id % 3 = 1 THEN 'old' ELSE 'new' END AS version FROM documents""")
 def incremental_upsert(spark: SparkSession, folder: str) -> DataFrame:
+    """Two thirds of the documents are stored; a batch brings half of those again and the last third for the first time."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    old = docs.filter("doc_id % 3 <> 2").withColumn("version", F.lit("old"))
-    return rag.upsert(old, docs.filter("doc_id % 3 = 0").withColumn("version", F.lit("new")), "doc_id")
+    again, first = F.coalesce(F.col("doc_id") % 3 == 0, F.lit(False)), F.coalesce(F.col("doc_id") % 3 == 2, F.lit(True))
+    old = docs.filter(~first).withColumn("version", F.lit("old"))
+    return rag.upsert(old, docs.filter(again | first).withColumn("version", F.lit("new")), "doc_id")
