@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quernal.functions.text import strip, title_case
+from quernal.session import ship
 
 HEADERS = ("document_title", "entity_name", "section", "item_name")
 SIZE, OVERLAP = 1500, 250
@@ -15,27 +19,47 @@ SEPARATORS = tuple("\n\n|\n| |".split("|"))
 LEAST = 50
 
 
-def sections(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, sid, the four header columns and text: one row for each section, headers kept in its text.
+_MARK = re.compile("(#{1,4})(?: +(.*))?")
+_SECTION = T.StructType([T.StructField("sid", T.LongType()), *[T.StructField(h, T.StringType()) for h in HEADERS], T.StructField("text", T.StringType())])
+
 
-    Sections are numbered from 0, the lines before the first header. Hash marks inside code fences are no headers.
-    All windows go by key, so there is one shuffle; a document's lines are one window's rows.
+def split_sections(text: str) -> list[tuple]:
+    """(number, the four headers that hold, text) of each section; a header ends those of its level and below."""
+    out: list[tuple] = []
+    names: list[str | None] = [None] * len(HEADERS)
+    held: list[str] = []
+    sid, fenced = 0, False
+    for line in text.split("\n"):
+        bare = line.strip(" ")
+        fence = bare.startswith("```")
+        found = None if fenced or fence or not bare.startswith("#") else _MARK.fullmatch(bare)
+        if found:
+            if held:
+                out.append((sid, *names, "\n".join(held)))
+                held = []
+            sid += 1
+            level = len(found[1])
+            names[level - 1 :] = [(found[2] or "").strip(" "), *[None] * (len(HEADERS) - level)]
+        fenced ^= fence
+        held.append(line)
+    return [*out, (sid, *names, "\n".join(held))]
+
+
+@F.arrow_udf(T.ArrayType(_SECTION))
+def _sections(text: pa.Array) -> pa.Array:
+    kind = pa.list_(pa.struct([("sid", pa.int64()), *[(h, pa.string()) for h in HEADERS], ("text", pa.string())]))
+    names = [f.name for f in _SECTION]
+    return pa.array([None if t is None else [dict(zip(names, s, strict=True)) for s in split_sections(t)] for t in text.to_pylist()], kind)
+
+
+def sections(docs: DataFrame, key: str = "doc_id", rest: tuple[str, ...] = ()) -> DataFrame:
+    """key, rest, sid, the four header columns and text: one row for each section, headers kept in its text.
+
+    Sections are numbered from 0, the lines before the first header, where there are any. Hash marks inside code fences are no headers. A document
+    is cut where it stands, in Arrow batches: nothing is shuffled.
     """
-    lines = docs.select(key, F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    w = Window.partitionBy(key).orderBy("pos")
-    fence = F.startswith(F.ltrim("line"), F.lit("```"))
-    inside = F.coalesce(F.sum(fence.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) % 2 == 1
-    mark = r"^(#{1,4})(?: +(.*))?$"
-    lines = lines.withColumn("level", F.when(inside | fence, 0).otherwise(F.length(F.regexp_extract(F.trim("line"), mark, 1))))
-    lines = lines.withColumns({"sid": F.sum((F.col("level") > 0).cast("int")).over(w), "name": F.trim(F.regexp_extract(F.trim("line"), mark, 2))})
-    at = {k: F.last(F.when(F.col("level") == k, F.col("pos")), ignorenulls=True).over(w) for k in range(1, 5)}
-    named = {f"name{k}": F.last(F.when(F.col("level") == k, F.col("name")), ignorenulls=True).over(w) for k in range(1, 5)}
-    lines = lines.withColumns({**{f"at{k}": c for k, c in at.items()}, **named})
-    for k in range(1, 5):
-        above = F.greatest(*[F.coalesce(F.col(f"at{j}"), F.lit(-1)) for j in range(1, k)], F.lit(-1)) if k > 1 else F.lit(-1)
-        lines = lines.withColumn(HEADERS[k - 1], F.when(F.col(f"at{k}") > above, F.col(f"name{k}")))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda s: s["line"]), "\n").alias("text")
-    return lines.groupBy(key, "sid").agg(*[F.first(h).alias(h) for h in HEADERS], text)
+    ship(docs.sparkSession)
+    return docs.select(key, *rest, F.inline(_sections(F.col("text").cast("string"))))
 
 
 def fixed(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:

@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-QUOTAS = dict(Pessoas=70, Projetos=60, Estrategico=30, Grupos=20, Institucional=20)
-
-
 def category(c: Column) -> Column:
     """A file's topic by its name, the first rule that holds."""
     n = F.lower(c)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quernal.plans import entity_queries, retrieval_queries, text_queries, web_queries
+from quernal.plans import driver_queries, entity_queries, retrieval_queries, text_queries, web_queries
 from quernal.plans.registry import Query
 
-_REGISTERS = [m.register for m in (text_queries, web_queries, entity_queries, retrieval_queries)]
+_REGISTERS = [m.register for m in (text_queries, web_queries, entity_queries, retrieval_queries, driver_queries)]
 
 
 def queries() -> dict[str, Query]:

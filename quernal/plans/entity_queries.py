@@ -20,8 +20,8 @@ def category_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _GROUPS = """
-g AS (SELECT lower(n_name) AS acronym, 'Works on ' || n_name AS description FROM nation WHERE n_nationkey % 4 <> 0),
-u AS (SELECT c_custkey, c_name, 'In ' || c_mktsegment AS c, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey),
+g AS (SELECT lower(n_name) AS acronym, 'Works on ' || n_name AS description FROM nation),
+u AS (SELECT c_custkey, c_name, 'In ' || c_mktsegment AS c, CASE WHEN c_custkey % 7 = 0 THEN 'New ' || n_name ELSE n_name END AS n_name FROM customer JOIN nation ON c_nationkey = n_nationkey),
 r AS (SELECT c_name AS user_name, c AS user_description, CASE WHEN c_custkey % 10 = 0 THEN 'None' ELSE lower(n_name) END AS group_acronym, CASE WHEN c_custkey % 10 = 0 THEN 'None' ELSE n_name END AS group_name,
   CASE WHEN c_custkey % 10 = 0 THEN 'No associated group.' ELSE coalesce(description, 'Description not available.') END AS group_description FROM u LEFT JOIN g ON acronym = lower(n_name))"""
 
@@ -29,9 +29,11 @@ r AS (SELECT c_name AS user_name, c AS user_description, CASE WHEN c_custkey % 1
 def _relations(spark: SparkSession, folder: str) -> DataFrame:
     nation = table(spark, folder, "nation")
     people = table(spark, folder, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-    member = F.when(F.col("c_custkey") % 10 != 0, F.array(F.struct(F.col("n_name").alias("acronym"), F.col("n_name").alias("name"))))
+    # every seventh belongs to a group that nobody described, every tenth to none
+    group = F.when(F.col("c_custkey") % 7 == 0, F.concat(F.lit("New "), "n_name")).otherwise(F.col("n_name"))
+    member = F.when(F.col("c_custkey") % 10 != 0, F.array(F.struct(group.alias("acronym"), group.alias("name"))))
     users = people.select(F.col("c_name").alias("user_name"), F.concat(F.lit("In "), "c_mktsegment").alias("user_description"), member.alias("groups"))
-    groups = nation.filter("n_nationkey % 4 <> 0").select(F.lower("n_name").alias("acronym"), F.concat(F.lit("Works on "), "n_name").alias("description"))
+    groups = nation.select(F.lower("n_name").alias("acronym"), F.concat(F.lit("Works on "), "n_name").alias("description"))
     return rel.user_groups(users, groups)
 
 
@@ -70,14 +72,14 @@ def unique_projects(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @register.query("""
-WITH m AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem),
-p AS (SELECT l_orderkey, coalesce(s_name, 'Unknown') AS name, coalesce('Account in nation ' || s_nationkey, 'Associated researcher.') AS bio FROM m LEFT JOIN supplier ON s_suppkey = l_suppkey AND s_suppkey % 5 <> 0),
+WITH m AS (SELECT DISTINCT l_orderkey, CASE WHEN l_suppkey % 5 = 0 THEN -l_suppkey ELSE l_suppkey END AS l_suppkey FROM lineitem),
+p AS (SELECT l_orderkey, coalesce(s_name, 'Unknown') AS name, coalesce('Account in nation ' || s_nationkey, 'Associated researcher.') AS bio FROM m LEFT JOIN supplier ON s_suppkey = l_suppkey),
 a AS (SELECT l_orderkey, string_agg('- **' || name || '**: ' || bio, chr(10) ORDER BY '- **' || name || '**: ' || bio) AS members FROM p GROUP BY l_orderkey)
 SELECT o_orderkey, '## Order ' || o_orderkey || chr(10) || '**Status:** ' || o_orderstatus || chr(10) || '**Description:** ' || o_orderpriority || chr(10) || CASE WHEN members IS NULL THEN '' ELSE chr(10) || '### Associated Members' || chr(10) || members END
   || chr(10) || chr(10) || repeat('-', 80) || chr(10) AS page FROM orders LEFT JOIN a ON l_orderkey = o_orderkey""")
 def project_members(spark: SparkSession, folder: str) -> DataFrame:
-    members = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("project"), F.col("l_suppkey").alias("person")).distinct()
-    people = table(spark, folder, "supplier").filter("s_suppkey % 5 <> 0").select(F.col("s_suppkey").alias("person"), F.col("s_name").alias("name"), F.concat(F.lit("Account in nation "), F.col("s_nationkey").cast("string")).alias("bio"))
+    members = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("project"), F.when(F.col("l_suppkey") % 5 == 0, -F.col("l_suppkey")).otherwise(F.col("l_suppkey")).alias("person")).distinct()
+    people = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("person"), F.col("s_name").alias("name"), F.concat(F.lit("Account in nation "), F.col("s_nationkey").cast("string")).alias("bio"))
     lines = rel.project_members(members, people).groupBy("project").agg(F.array_sort(F.collect_list(F.concat(F.lit("- **"), "name", F.lit("**: "), "bio"))).alias("lines"))
     orders = table(spark, folder, "orders").join(lines, F.col("o_orderkey") == F.col("project"), "left")
     lines = F.coalesce("lines", F.array().cast("array<string>"))
@@ -86,17 +88,28 @@ def project_members(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @register.query("""
-WITH o AS (SELECT o_custkey, string_agg('- ' || o_orderkey, chr(10) ORDER BY '- ' || o_orderkey) AS lines FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey)
-SELECT c_custkey, '## ' || c_name || chr(10) || '**Segment:** ' || c_mktsegment || chr(10) || chr(10) || '### Publications' || chr(10) || coalesce(lines, '- No public records found.') || chr(10) || chr(10) || '### Projects' || chr(10) || '- No projects found.' || chr(10) || chr(10) || repeat('-', 80) || chr(10) AS page
+WITH o AS (SELECT o_custkey, string_agg('- ' || o_orderkey, chr(10) ORDER BY '- ' || o_orderkey) FILTER (WHERE o_orderstatus = 'F') AS done, string_agg('- ' || o_orderkey, chr(10) ORDER BY '- ' || o_orderkey) FILTER (WHERE o_orderstatus <> 'F') AS open FROM orders GROUP BY o_custkey)
+SELECT c_custkey, '## ' || c_name || chr(10) || '**Segment:** ' || c_mktsegment || chr(10) || chr(10) || '### Publications' || chr(10) || coalesce(done, '- No public records found.') || chr(10) || chr(10) || '### Projects' || chr(10) || coalesce(open, '- No projects found.') || chr(10) || chr(10) || repeat('-', 80) || chr(10) AS page
 FROM customer LEFT JOIN o ON o_custkey = c_custkey""")
 def profile_render(spark: SparkSession, folder: str) -> DataFrame:
+    """Finished orders stand for publications, the others for projects."""
     empty = F.array().cast("array<string>")
-    orders = table(spark, folder, "orders").filter("o_orderstatus = 'F'").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.concat(F.lit("- "), F.col("o_orderkey").cast("string")))).alias("items"), F.lit(0).alias("pos"))
-    users = rel.with_items(table(spark, folder, "customer"), orders, "c_custkey", "o_custkey", "lines")
-    page = render.profile(F.col("c_name"), text.name_aliases(F.col("c_name")), {"Segment": F.col("c_mktsegment")}, empty, F.col("lines"), empty)
+    line = F.concat(F.lit("- "), F.col("o_orderkey").cast("string"))
+    lines = lambda c: F.array_sort(F.collect_list(F.when(c, line)))
+    finished = F.col("o_orderstatus") == "F"
+    orders = table(spark, folder, "orders").groupBy("o_custkey").agg(lines(finished).alias("done"), lines(~finished).alias("open"))
+    users = table(spark, folder, "customer").join(orders, F.col("o_custkey") == F.col("c_custkey"), "left")
+    page = render.profile(F.col("c_name"), text.name_aliases(F.col("c_name")), {"Segment": F.col("c_mktsegment")}, empty, F.coalesce("done", empty), F.coalesce("open", empty))
     return users.select("c_custkey", page.alias("page"))
 
 
+@register.query("SELECT c_custkey, CAST(count(o_orderkey) AS BIGINT) AS n_items FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
+def user_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Each person with the items of the last list that there is under its key; none for those without a list."""
+    orders = table(spark, folder, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("items"), F.lit(0).alias("pos"))
+    return rel.with_items(table(spark, folder, "customer"), orders, "c_custkey", "o_custkey", "lines").select("c_custkey", F.size("lines").cast("bigint").alias("n_items"))
+
+
 @register.query("SELECT doc_id, source FROM documents WHERE NOT EXISTS (SELECT 1 FROM labels WHERE labels.doc_id = documents.doc_id)")
 def file_antijoin(spark: SparkSession, folder: str) -> DataFrame:
     raw = table(spark, folder, "documents").select("doc_id", "source", F.col("doc_id").cast("string").alias("file_name"))
@@ -105,12 +118,14 @@ def file_antijoin(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @register.query("""
-WITH a AS (SELECT DISTINCT lower(n_name) AS acronym FROM nation), f AS (SELECT 'z/' || n_name || '.md' AS path FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT 'a/' || lower(n_name) || '.md' FROM nation WHERE n_nationkey % 3 = 0)
+WITH a AS (SELECT DISTINCT lower(n_name) AS acronym FROM nation UNION SELECT 'none'), f AS (SELECT 'z/' || n_name || '.md' AS path FROM nation UNION ALL SELECT CASE WHEN n_nationkey % 3 = 0 THEN 'a/' ELSE 'zz/' END || lower(n_name) || '.md' FROM nation)
 SELECT acronym, min(path) AS path FROM a JOIN f ON regexp_replace(lower(string_split(path, '/')[-1]), '[.]md$', '') = acronym GROUP BY acronym""")
 def distinct_acronyms(spark: SparkSession, folder: str) -> DataFrame:
+    """Every group has two files, in one order or the other; one more acronym has none."""
     nation = table(spark, folder, "nation")
-    files = nation.filter("n_nationkey % 2 = 0").select(F.concat(F.lit("z/"), "n_name", F.lit(".md")).alias("path")).unionByName(nation.filter("n_nationkey % 3 = 0").select(F.concat(F.lit("a/"), F.lower("n_name"), F.lit(".md")).alias("path")))
-    return rel.group_files(nation.select(F.col("n_name").alias("acronym")), files)
+    second = F.concat(F.when(F.col("n_nationkey") % 3 == 0, "a/").otherwise("zz/"), F.lower("n_name"), F.lit(".md"))
+    files = nation.select(F.concat(F.lit("z/"), "n_name", F.lit(".md")).alias("path")).unionByName(nation.select(second.alias("path")))
+    return rel.group_files(nation.select(F.col("n_name").alias("acronym")).union(spark.sql("SELECT 'None' AS acronym")), files)
 
 
 @register.query("SELECT conv_id, CAST(count(*) AS BIGINT) AS n_messages, string_agg(role || ': ' || text, chr(10) ORDER BY turn, role, text) AS transcript FROM conversations WHERE role <> 'system' GROUP BY conv_id")

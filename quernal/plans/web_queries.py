@@ -9,6 +9,7 @@ from quernal.functions import html, render, urls
 from quernal.operators import crawl
 from quernal.plans.registry import Register, sql_clean, sql_slug, sql_strip
 from quernal.session import table
+from quernal.sources import readers
 
 register = Register()
 DOMAIN = "example.com"
@@ -87,16 +88,65 @@ def first_links_per_page(spark: SparkSession, folder: str) -> DataFrame:
     return crawl.first_links(crawl.links(html.parsed(table(spark, folder, "pages")), DOMAIN), 5).select("page_id", "target", "k")
 
 
-@register.query(f"""
-WITH RECURSIVE e AS (SELECT page_id AS src, (page_id * 7 + 3) % n AS dst FROM pages, (SELECT count(*) AS n FROM pages) UNION ALL SELECT page_id, (page_id * 3 + 1) % n FROM pages, (SELECT count(*) AS n FROM pages)),
-w AS (SELECT 0 AS page_id, 0 AS depth UNION SELECT e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.page_id WHERE w.depth < 4)
-SELECT CAST(page_id AS BIGINT) AS page_id, CAST(min(depth) AS INTEGER) AS depth FROM w GROUP BY page_id""")
+_SKIPPED = "u = '' OR contains(u, 'download-file') OR contains(u, '/login') OR contains(u, '/logout') OR contains(u, '/register') OR contains(u, '/search') OR contains(u, '/people')"
+_INTERNAL = f"(contains({_NETLOC.format('target')}, '{DOMAIN}') OR {_NETLOC.format('target')} = '')"
+_SITE = f"""{_links_sql()}, e AS (SELECT DISTINCT {sql_normalize('url')} AS src, {sql_normalize('target')} AS u FROM r WHERE {_INTERNAL}),
+h AS (SELECT DISTINCT {sql_normalize('url')} AS u FROM pages),
+w AS (SELECT u, 0 AS depth FROM h WHERE starts_with(u, 'http') AND NOT ({_SKIPPED}) UNION SELECT e.u, w.depth + 1 FROM w JOIN e ON e.src = w.u WHERE NOT ({_SKIPPED.replace("u =", "e.u =").replace("(u,", "(e.u,")}) AND depth < (SELECT count(*) FROM h)),
+f AS (SELECT u, min(depth) AS depth FROM w GROUP BY u)"""
+
+
+def _links(spark: SparkSession, folder: str) -> DataFrame:
+    return crawl.links(html.parsed(table(spark, folder, "pages")), DOMAIN)
+
+
+@register.query(f"WITH RECURSIVE {_SITE} SELECT f.u AS url, CAST(depth AS INTEGER) AS depth, h.u IS NOT NULL AS known FROM f LEFT JOIN h USING (u)")
 def crawl_frontier(spark: SparkSession, folder: str) -> DataFrame:
-    pages = table(spark, folder, "pages").select("page_id")
-    n = F.lit(pages.count())
-    edges = pages.select(F.col("page_id").alias("src"), F.explode(F.array((F.col("page_id") * 7 + 3) % n, (F.col("page_id") * 3 + 1) % n)).alias("dst"))
-    seeds = pages.filter("page_id = 0")
-    return crawl.frontier(seeds, edges, depth=4)
+    """All that is reached from the pages along their own links, until a level is empty."""
+    return crawl.walk(table(spark, folder, "pages"), _links(spark, folder))
+
+
+@register.query(f"""WITH RECURSIVE {_SITE}, t AS (SELECT {sql_normalize('target')} AS target, count(*) AS n, count(*) FILTER (WHERE NOT {_INTERNAL}) AS out FROM r GROUP BY 1)
+SELECT CAST(count(*) AS BIGINT) AS n_urls, CAST(count(*) FILTER (WHERE u IN (SELECT u FROM h)) AS BIGINT) AS n_known, CAST(coalesce(max(depth), 0) AS INTEGER) AS most_steps, CAST((SELECT coalesce(sum(n), 0) FROM t) AS BIGINT) AS n_links,
+  CAST((SELECT coalesce(sum(out), 0) FROM t) AS BIGINT) AS n_external, CAST((SELECT coalesce(sum(n - 1), 0) FROM t) AS BIGINT) AS n_repeats FROM f""")
+def crawl_totals(spark: SparkSession, folder: str) -> DataFrame:
+    found = _links(spark, folder)
+    return crawl.crawl_report(crawl.walk(table(spark, folder, "pages"), found), found)
+
+
+@register.query(f"""WITH {_links_sql()}, n AS (SELECT {sql_normalize('target')} AS u, CAST(pos AS INTEGER) AS pos FROM r), g AS (SELECT u, min(pos) AS pos, count(*) AS times FROM n GROUP BY u),
+s AS (SELECT DISTINCT {sql_normalize('url')} AS u FROM pages)
+SELECT g.u AS url, pos, CASE WHEN g.u = '' THEN 'no URL' WHEN contains(g.u, 'download-file') THEN 'a download' WHEN contains(g.u, '/login') THEN 'sign-in page /login' WHEN contains(g.u, '/logout') THEN 'sign-in page /logout'
+  WHEN contains(g.u, '/register') THEN 'sign-in page /register' WHEN contains(g.u, '/search') THEN 'a search page' WHEN contains(g.u, '/people') THEN 'a people directory' ELSE '' END AS reason, s.u IS NOT NULL AS known, CAST(times - 1 AS BIGINT) AS repeats FROM g LEFT JOIN s USING (u)""")
+def link_queue(spark: SparkSession, folder: str) -> DataFrame:
+    seen = table(spark, folder, "pages").select(urls.normalize(F.col("url")).alias("url"))
+    return crawl.enqueue(_links(spark, folder), seen)
+
+
+_ORG = "example.org"
+
+
+@register.query(f"""WITH {_links_sql()}, x AS (SELECT page_id, pos, text, target, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS k FROM r WHERE NOT (contains({_NETLOC.format('target')}, '{_ORG}') OR {_NETLOC.format('target')} = ''))
+SELECT page_id, target, '[EXTERNAL] ' || text AS title, 'links (External)' AS category FROM x WHERE k = 1 AND target NOT IN (SELECT url FROM pages)""")
+def external_pages(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    found = crawl.links(html.parsed(pages), _ORG).withColumn("category", F.lit("links"))
+    return crawl.external_records(found, pages).select("page_id", "target", "title", "category")
+
+
+@register.query(f"""WITH {_links_sql()}, a AS (SELECT 'https://host.example' || href AS url, page_id * 1000 + pos AS pos FROM k WHERE starts_with(href, '/') UNION ALL SELECT href, page_id * 1000 + pos FROM k WHERE NOT starts_with(href, '/'))
+SELECT url, CAST(min(pos) AS BIGINT) AS pos FROM a GROUP BY url""")
+def scroll_links(spark: SparkSession, folder: str) -> DataFrame:
+    found = _links(spark, folder).select("href", (F.col("page_id") * 1000 + F.col("pos")).alias("pos"))
+    return crawl.scroll_links(found, "https://host.example")
+
+
+@register.query("""SELECT r_name AS category, n_name AS name, coalesce(CASE WHEN n_nationkey % 3 = 0 THEN 'https://x.example/' || n_nationkey END, 'https://site.example/' || lower(replace(n_name, ' ', '-'))) AS url FROM nation JOIN region ON n_regionkey = r_regionkey""")
+def seed_links(spark: SparkSession, folder: str) -> DataFrame:
+    both = table(spark, folder, "nation").join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    href = F.when(F.col("n_nationkey") % 3 == 0, F.concat(F.lit("https://x.example/"), F.col("n_nationkey").cast("string"))).otherwise("")
+    entries = both.select(F.col("r_name").alias("category"), F.col("n_name").alias("name"), href.alias("href"))
+    return readers.or_default(readers.seed_links(entries.limit(0), ""), readers.seed_links(entries, "https://site.example"))
 
 
 _TITLE = r"regexp_extract(html, '<title>([^<]*)</title>', 1)"
@@ -120,16 +170,20 @@ def html_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
     return p.select("page_id", F.posexplode(html.paragraphs(p)).alias("pos", "text"))
 
 
-@register.query()
+@register.query(rf"""WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, '<h[1-6][^>]*>([^<]*)</h[1-6]>', 1)) AS t, unnest(range(0, len(regexp_extract_all(html, '<h[1-6][^>]*>([^<]*)</h[1-6]>', 1)))) AS i FROM pages),
+c AS (SELECT page_id, i, {sql_clean(sql_strip(_unescaped('t')))} AS text FROM h) SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INTEGER) AS pos, text FROM c WHERE text <> ''""")
 def html_headings(spark: SparkSession, folder: str) -> DataFrame:
     p = html.parsed(table(spark, folder, "pages"))
     return p.select("page_id", F.posexplode(html.headings(p, 1, 6)).alias("pos", "text"))
 
 
-@register.query()
+@register.query(f"""WITH p AS (SELECT page_id, split_part(url, '://', 1) || '://' || {_NETLOC.format('url')} AS root, unnest([0, 2, 3]) AS pos FROM pages)
+SELECT page_id, CAST(pos AS INTEGER) AS pos, CASE pos WHEN 0 THEN 'one ' || page_id WHEN 2 THEN '' ELSE 'far' END AS alt, CASE pos WHEN 0 THEN root || '/img/' || page_id || '.png' WHEN 2 THEN root || '/c.gif' ELSE 'https://cdn.example/x.png' END AS src FROM p""")
 def html_images(spark: SparkSession, folder: str) -> DataFrame:
-    p = html.parsed(table(spark, folder, "pages"))
-    return crawl.images(p).select("page_id", "pos", "alt", "src")
+    """The pages have no images, so each is given four: below the host, without a source, with dot segments, and elsewhere."""
+    n = F.col("page_id").cast("string")
+    added = F.concat("html", F.lit('<img src="/img/'), n, F.lit('.png" alt=" one  '), n, F.lit('"><img alt="none"><img src="/a/b/../../c.gif"><img src="https://cdn.example/x.png" alt="far">'))
+    return crawl.images(html.parsed(table(spark, folder, "pages").withColumn("html", added))).select("page_id", "pos", "alt", "src")
 
 
 @register.query()

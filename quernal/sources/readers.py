@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 import json
+import logging
 import os
 from collections.abc import Callable, Iterator
 from functools import reduce
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from quernal.functions import html
-from quernal.functions.text import strip_prefix
+from quernal.functions.text import strip_prefix, summary
+from quernal.session import cut
 
 
 def load_config(path: str) -> dict:
@@ -114,8 +116,20 @@ def knowledge_files(spark: SparkSession, enriched: str, raw: str) -> DataFrame:
 
 
 def group_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """slug and content of the group files."""
-    return markdown_files(spark, folder, ()).select(F.regexp_replace("file_name", r"\.md$", "").alias("slug"), "content")
+    """slug, content and summary of the group files; the summary is the extractive one, `enrich.summaries` gives a model's."""
+    files = markdown_files(spark, folder, ()).select(F.regexp_replace("file_name", r"\.md$", "").alias("slug"), "content")
+    return files.withColumn("summary", summary(F.col("content")))
+
+
+def in_order(files: DataFrame) -> DataFrame:
+    """The files by path, with pos counting from 0 in that order within each folder."""
+    w = Window.partitionBy(F.array_join("folders", "/")).orderBy("path")
+    return files.withColumn("pos", F.row_number().over(w) - 1)
+
+
+def zipped(contents: Column, metadata: Column) -> Column:
+    """An array of (content, metadata) by position; the shorter array gives nulls."""
+    return F.transform(F.arrays_zip(contents.alias("content"), metadata.alias("metadata")), lambda x: F.struct(x["content"].alias("content"), x["metadata"].alias("metadata")))
 
 
 def _by_page(pages: DataFrame, make: Callable[..., dict], schema: str, *columns: str) -> DataFrame:
@@ -159,15 +173,17 @@ def or_default(found: DataFrame, fallback: DataFrame) -> DataFrame:
 
 
 class _Page(InputPartition):
-    def __init__(self, page: int) -> None:
+    def __init__(self, page: int, found: dict | None = None) -> None:
         super().__init__(page)
+        self.found = found
 
 
 class PagedRest(DataSource):
-    """POST requests by page number: `spark.read.format("paged_rest").options(url=.., last_page=.., token=..)`.
+    """POST requests by page number: `spark.read.format("paged_rest").options(url=.., per_page=.., last_page=.., token=.., timeout=..)`.
 
-    One partition for each page, so pages are fetched in parallel by the executors. The first page's failure fails the read; a later
-    page's leaves its rows out. Rows are JSON texts.
+    Page and page size are query parameters, the body is empty. The first page is fetched while planning, as it tells the last page; its failure fails the
+    read. One partition for each page, so pages are fetched in parallel by the executors. Items are JSON texts; a page that fails is a row with its error, and
+    `until_failure` leaves out what a sequential reader would not have reached.
     """
 
     @classmethod
@@ -175,7 +191,7 @@ class PagedRest(DataSource):
         return "paged_rest"
 
     def schema(self) -> str:
-        return "page int, item string"
+        return "page int, item string, error string"
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return _PagedReader(dict(self.options))
@@ -183,29 +199,76 @@ class PagedRest(DataSource):
 
 class _PagedReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
-        self.options = options
+        self.options = {k.lower(): v for k, v in options.items()}
 
     def _fetch(self, page: int) -> dict:
+        from urllib.parse import urlencode
         from urllib.request import Request, urlopen
 
-        body = json.dumps({"page": page, "per_page": int(self.options.get("per_page", 100))}).encode()
-        head = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {self.options['token']}"} if self.options.get("token") else {})
-        with urlopen(Request(self.options["url"], body, head, method="POST"), timeout=float(self.options.get("timeout", 30))) as r:  # noqa: S310
-            return json.load(r)
+        url = self.options["url"]
+        query = urlencode({"page": page, "per_page": int(self.options.get("per_page", 100))})
+        head = {"Accept": "application/json"} | ({"Authorization": f"Bearer {self.options['token']}"} if self.options.get("token") else {})
+        with urlopen(Request(f"{url}{'&' if '?' in url else '?'}{query}", b"", head, method="POST"), timeout=float(self.options.get("timeout", 30))) as r:  # noqa: S310
+            found = json.load(r)
+        return found if isinstance(found, dict) else {"data": found}
 
     def partitions(self) -> list[InputPartition]:
-        last = self.options.get("last_page") or self.options.get("lastpage") or setting(self._fetch(1), "meta", "last_page", default=1)
-        return [_Page(k) for k in range(1, int(last) + 1)]
+        first = self._fetch(1)
+        last = self.options.get("last_page") or setting(first, "meta", "last_page", default=1)
+        return [_Page(1, first), *(_Page(k) for k in range(2, int(last) + 1))]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         try:
-            found = self._fetch(partition.value)
-        except OSError:
-            if partition.value == 1:
-                raise
+            found = partition.found or self._fetch(partition.value)
+        except (OSError, ValueError) as e:
+            yield partition.value, None, f"{type(e).__name__}: {e}"
             return
-        for item in found.get("data", []):
-            yield partition.value, json.dumps(item, ensure_ascii=False)
+        for item in found.get("data") or []:
+            yield partition.value, json.dumps(item, ensure_ascii=False), None
+
+
+def until_failure(pages: DataFrame) -> DataFrame:
+    """page, item of the pages before the first that failed."""
+    failed = pages.filter("error is not null").agg(F.coalesce(F.min("page"), F.lit(2**31 - 1)).alias("stop"))
+    return pages.filter("error is null").join(F.broadcast(failed), F.col("page") < F.col("stop")).select("page", "item")
+
+
+def endpoint(spark: SparkSession, url: str, **options: object) -> DataFrame | None:
+    """The items of one endpoint, fetched once; None if its first page fails, what came before a later page's failure otherwise."""
+    spark.dataSource.register(PagedRest)
+    try:
+        return cut(until_failure(cut(spark.read.format("paged_rest").options(url=url, **{k: str(v) for k, v in options.items() if v is not None}).load())))
+    except Exception as e:  # noqa: BLE001
+        logging.getLogger(__name__).warning("%s: %s", url, e)
+        return None
+
+
+def endpoints(spark: SparkSession, urls: dict[str, str], **options: object) -> dict[str, DataFrame | None]:
+    """Every endpoint's items by name, one endpoint after the other."""
+    return {name: endpoint(spark, url, **options) for name, url in urls.items()}
+
+
+def _get(url: str, timeout: float) -> str:
+    from urllib.request import urlopen
+
+    with urlopen(url, timeout=timeout) as r:  # noqa: S310
+        return r.read().decode(r.headers.get_content_charset() or "utf-8", "replace")
+
+
+def fetch_pages(addresses: DataFrame, timeout: float = 10, get: Callable[[str, float], str] = _get) -> DataFrame:
+    """url, html, error: each address(url) fetched by the executors; a failure is a row with its error and no html."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            rows = []
+            for url in pdf["url"]:
+                try:
+                    rows.append((url, get(url, timeout), None))
+                except Exception as e:  # noqa: BLE001
+                    rows.append((url, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["url", "html", "error"])
+
+    return addresses.select("url").mapInPandas(run, "url string, html string, error string")
 
 
 def pdf_texts(spark: SparkSession, folder: str, convert: Callable[[bytes], str]) -> DataFrame:
