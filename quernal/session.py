@@ -60,6 +60,12 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in the shared file system, if it is there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def unused(columns: list[str], stem: str) -> str:
     """A column name that isn't among `columns`, whatever its case."""
     taken = {c.lower() for c in columns}

@@ -113,3 +113,13 @@ def test_entry_works(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).columns and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_entry_works_without_the_packages_of_the_corpus_operators():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import sys; sys.modules['ahocorasick'] = None; import __spark_entry__ as e; print(len(e.queries()), any(n.startswith('op4') for n in e.queries()))"
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=Path(__file__).resolve().parents[1], check=True)  # noqa: S603
+    assert done.stdout.split()[1] == "False" and int(done.stdout.split()[0]) >= 64
