@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quernal.operators import chunking, evaluate, fusion, lexical, rag, vector
 from quernal.operators import relations as rel
 from quernal.plans.registry import Register, sql_strip, sql_title, sql_tokens
-from quernal.session import table
+from quernal.session import cut, table
 
 register = Register()
 
@@ -172,7 +172,7 @@ def _chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 def _chunk_search(spark: SparkSession, folder: str) -> DataFrame:
     """Both legs over chunks; a chunk has the vector of its document."""
-    chunks = _chunks(spark, folder)
+    chunks = cut(_chunks(spark, folder))
     vectors = table(spark, folder, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     asked = table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     wanted = asked.select("query_id").join(vectors.withColumnRenamed("doc_id", "query_id"), "query_id")

@@ -89,6 +89,19 @@ def ship(spark: SparkSession) -> None:
     context._quernal_shipped = True
 
 
+#: Tables under so many bytes aren't worth a shuffle.
+SPREAD_BYTES = 4 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores, where a table lies in fewer splits than that: one row group of Parquet is one task. Larger tables stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution()
+    if plan.optimizedPlan().stats().sizeInBytes() < SPREAD_BYTES or plan.toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One of the Parquet tables in `folder`."""
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(spark.read.parquet(f"{folder}/{name}.parquet"))

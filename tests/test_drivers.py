@@ -256,6 +256,12 @@ def test_lexical_search_of_long_term_lists(spark, monkeypatch):
     whole = {(r.query_id, r.doc_id, round(r.score, 6)) for r in lexical.score(docs, asked).collect()}
     monkeypatch.setattr(lexical, "BLOCK_TERMS", 3)
     assert {(r.query_id, r.doc_id, round(r.score, 6)) for r in lexical.score(docs, asked).collect()} == whole and whole
+    ranked = {(r.query_id, r.doc_id, round(r.score, 6)) for r in lexical.nearest(docs, asked, 50).collect()}
+    assert ranked == whole
+    monkeypatch.setattr(lexical, "BATCH", 3)
+    few = {(r.query_id, r.doc_id, r["rank"]) for r in lexical.nearest(docs, asked, 5).collect()}
+    assert few == {(r.query_id, r.doc_id, r["rank"]) for r in lexical.top(lexical.score(docs, asked), 5).collect()} and len(few) == 40
+    assert lexical.nearest(docs.limit(0), asked).count() == 0 and lexical.nearest(docs, asked.limit(0)).count() == 0
     stored = lexical.build(docs)
     assert {(r.query_id, r.doc_id, round(r.score, 6)) for r in lexical.search_index(stored, asked).collect()} == whole
 
