@@ -165,29 +165,36 @@ def _added(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             v = np.frombuffer(codec.decompress(s.as_buffer(), n * kind.itemsize), kind).astype(np.int64)
             have[k] = have[k] + v if k in have else v
     for k, v in have.items():
-        # beyond a task's numbers the sums may be large; 32 bits of a float are enough for the axes
-        yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([v.astype(np.float32 if k >= 0 else np.float64).tobytes()], pa.binary())], names=["chunk", "sums"])
+        # sums of many tasks may be large; 32 bits of a float are enough for the axes
+        yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([codec.compress(v.astype(np.float32 if k >= 0 else np.float64).tobytes(), asbytes=True)], pa.binary())], names=["chunk", "sums"])
 
 
 def basis(texts: DataFrame) -> np.ndarray:
     """COLUMNS x RANK at most: the latent vector of a word of each column, TF-IDF weight and singular values taken in."""
     sums = texts.mapInArrow(_sketched, "chunk bigint, sums binary").repartition("chunk").mapInArrow(_added, "chunk bigint, sums binary")
-    parts = dict(sums.collect())
-    if not parts:
-        return np.zeros((COLUMNS, 1), np.float32)
-    passages = np.frombuffer(parts.pop(-1), np.float64)[0]
-    flat = np.concatenate([np.frombuffer(parts[k], np.float32) for k in sorted(parts)]).reshape(SKETCH + 1, COLUMNS)
-    return latent(flat[:SKETCH], flat[SKETCH], passages)
-
-
-def latent(sketch: np.ndarray, df: np.ndarray, passages: float) -> np.ndarray:
+    flat, passages, codec = np.zeros((SKETCH + 1) * COLUMNS, np.float32), 0.0, pa.Codec("zstd", 1)
+    starts = np.cumsum([0, *(_piece(k)[1] for k in range(_CHUNKS))])
+    for k, s in sums.toLocalIterator():
+        n = _piece(k)[1]
+        if k < 0:
+            passages = np.frombuffer(codec.decompress(s, n * 8), np.float64)[0]
+        else:
+            flat[starts[k] : starts[k] + n] = np.frombuffer(codec.decompress(s, n * 4), np.float32)
+    flat = flat.reshape(SKETCH + 1, COLUMNS)
+    return latent(flat[:SKETCH], flat[SKETCH].copy(), passages)
+
+
+def latent(a: np.ndarray, df: np.ndarray, passages: float) -> np.ndarray:
+    """The latent vectors from the sketch, which is weighted in place, the document frequencies and the number of passages."""
     weight = (np.log((1 + passages) / (1 + df)) + 1).astype(np.float32)
-    a = sketch * weight
+    a *= weight
     values, left = np.linalg.eigh((a @ a.T).astype(np.float64))
     keep = [k for k in range(len(values) - 1, -1, -1) if values[k] > max(1e-6 * values[-1], 1e-9)][:RANK]
     if not keep:
         return np.zeros((COLUMNS, 1), np.float32)
-    return (a.T @ (left[:, keep] / values[keep]).astype(np.float32)) * weight[:, None]
+    out = a.T @ (left[:, keep] / values[keep]).astype(np.float32)
+    out *= weight[:, None]
+    return out
 
 
 def lcs(a: list[int], masks: dict[int, int], size: int) -> int:
