@@ -5,11 +5,12 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quernal.functions.text import clean, default, label, plain_description, strip
+from quernal.session import ship
 
 RULE = "-" * 80
 NO_IMAGE = "![Image not found](No image)"
@@ -75,10 +76,16 @@ def document(text: str | None, title: str = "") -> str | None:
 
 
 @F.pandas_udf(T.StringType())
-def json_to_markdown(text: pd.Series, title: pd.Series) -> pd.Series:
+def _documents(text: pd.Series, title: pd.Series) -> pd.Series:
     return pd.Series([document(x, t or "") for x, t in zip(text, title, strict=True)], dtype=object)
 
 
+def json_to_markdown(text: Column, title: Column) -> Column:
+    """`document` of each JSON text."""
+    ship(SparkSession.active())
+    return _documents(text, title)
+
+
 def flag(c: Column) -> Column:
     return F.when(c.isNull(), "*None*").when(c, "✓ Yes").otherwise("✗ No")
 

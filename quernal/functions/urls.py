@@ -5,11 +5,12 @@ from __future__ import annotations
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quernal.functions.text import slug
+from quernal.session import ship
 
 TRACKING = ("utm_", "PHPSESSID=")
 
@@ -69,6 +70,7 @@ def _join(base: pd.Series, href: pd.Series) -> pd.Series:
 
 def resolve(base: Column, href: Column) -> Column:
     """RFC 3986 resolution in Python, for all cases."""
+    ship(SparkSession.active())
     return _join(base, href)
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from quernal.functions.text import tokens
-from quernal.session import cut
+from quernal.session import cut, ship
 
 K1, B, TOP = 1.5, 0.75, 10
 #: So many terms of queries go to all tasks at a time.
@@ -159,6 +159,7 @@ def nearest(docs: DataFrame, queries: DataFrame, k: int = TOP, key: str = "doc_i
     queries and pass on k a query, so that no row is made for a pair of document and query.
     """
     spark = docs.sparkSession
+    ship(spark)
     asked = cut(queries.filter("query_id is not null").select("query_id", F.explode(F.array_distinct(tokens("query"))).alias("term")).distinct())
     w = Window.partitionBy("part").orderBy("term")
     terms = asked.select("term").distinct().withColumn("part", F.pmod(F.xxhash64("term"), F.lit(PARTS)))

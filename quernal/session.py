@@ -104,4 +104,5 @@ def spread(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One of the Parquet tables in `folder`."""
+    ship(spark)
     return spread(spark.read.parquet(f"{folder}/{name}.parquet"))

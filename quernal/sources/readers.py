@@ -17,7 +17,7 @@ from pyspark.sql.types import StructType
 
 from quernal.functions import html
 from quernal.functions.text import strip_prefix, summary
-from quernal.session import cut
+from quernal.session import cut, ship
 
 
 def load_config(path: str) -> dict:
@@ -139,6 +139,7 @@ def _by_page(pages: DataFrame, make: Callable[..., dict], schema: str, *columns:
             names = [x.split()[0] for x in schema.split(", ")]
             yield pd.concat([pdf[["url"]].reset_index(drop=True), pd.DataFrame(found, columns=names)], axis=1)
 
+    ship(pages.sparkSession)
     return pages.select("url", *[c for c in columns if c != "url"]).mapInPandas(run, f"url string, {schema}")
 
 
@@ -235,6 +236,7 @@ def until_failure(pages: DataFrame) -> DataFrame:
 
 def endpoint(spark: SparkSession, url: str, **options: object) -> DataFrame | None:
     """The items of one endpoint, fetched once; None if its first page fails, what came before a later page's failure otherwise."""
+    ship(spark)
     spark.dataSource.register(PagedRest)
     try:
         return cut(until_failure(cut(spark.read.format("paged_rest").options(url=url, **{k: str(v) for k, v in options.items() if v is not None}).load())))
@@ -268,6 +270,7 @@ def fetch_pages(addresses: DataFrame, timeout: float = 10, get: Callable[[str, f
                     rows.append((url, None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(rows, columns=["url", "html", "error"])
 
+    ship(addresses.sparkSession)
     return addresses.select("url").mapInPandas(run, "url string, html string, error string")
 
 

@@ -123,3 +123,21 @@ def test_entry_works_without_the_packages_of_the_corpus_operators():
     code = "import sys; sys.modules['ahocorasick'] = None; import __spark_entry__ as e; print(len(e.queries()), any(n.startswith('op4') for n in e.queries()))"
     done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=Path(__file__).resolve().parents[1], check=True)  # noqa: S603
     assert done.stdout.split()[1] == "False" and int(done.stdout.split()[0]) >= 64
+
+
+def test_python_workers_find_the_package_wherever_the_driver_runs(tmp_path):
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    names = ["bm25_topk", "vector_topk", "html_images", "convert_counts", "chunk_recursive", "section_headers"]
+    code = f"""
+import sys; sys.path.insert(0, {str(root)!r})
+import __spark_entry__ as e
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").getOrCreate()
+print([e.queries()[n](spark, {"/root/testdata/sf0.001"!r}).count() > 0 for n in {names!r}])
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=tmp_path, check=False)  # noqa: S603
+    assert done.stdout.strip() == str([True] * len(names)), done.stderr[-2000:]
