@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, SparkSession
@@ -126,14 +127,10 @@ def project_page(title: Column, fields: dict[str, Column], description: Column,
     return F.concat_ws("\n", F.concat(F.lit("## "), F.coalesce(title, F.lit("Unknown Title"))), *[_bold(k, v) for k, v in fields.items()], about, people, F.lit(f"\n{RULE}\n"))
 
 
-#: Navigation text that runs together where tags were dropped; lines that hold it are no content.
-NOISE = ("()hide listShow All", "HistoryGoverning", "PublicationsProjectsAdvanced")
-
-
-def page_markdown(title: Column, url: Column, category: Column, paragraphs: Column, noise: tuple[str, ...] = NOISE) -> Column:
-    """A page as Markdown: head, then its paragraphs' lines without blank and noise lines."""
+def page_markdown(title: Column, url: Column, category: Column, paragraphs: Column, noise: tuple[str, ...] = ()) -> Column:
+    """A page as Markdown: head, then its paragraphs' lines without blank ones and those that hold a `noise` text, such as a site's navigation run together."""
     lines = F.flatten(F.transform(paragraphs, lambda p: F.split(p, "\n", -1)))
-    kept = F.filter(F.transform(lines, strip), lambda x: (x != "") & ~F.rlike(x, F.lit("|".join(n.replace("(", "[(]").replace(")", "[)]") for n in noise))))
+    kept = F.filter(F.transform(lines, strip), lambda x: reduce(lambda a, n: a & ~F.contains(x, F.lit(n)), noise, x != ""))
     head = F.concat(F.lit("# "), title, F.lit("\n\n**Source:** ["), url, F.lit("]("), url, F.lit(")\n**Category:** "), F.coalesce(category, F.lit("")), F.lit("\n\n---\n\n"))
     return F.concat(head, F.when(F.size(kept) > 0, F.concat(F.lit("## Content\n\n"), F.array_join(kept, "\n\n"), F.lit("\n"))).otherwise(F.lit("")))
 
