@@ -126,7 +126,7 @@ def vector_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 @register.query()
 def vector_topk_lsh(spark: SparkSession, folder: str) -> DataFrame:
-    """Approximate neighbours, by random projections, of every vector whose id is divisible by 20, among all."""
+    """Approximate neighbours, by hashing to the cells of nearest centres, of every vector whose id is divisible by 20, among all."""
     vectors = table(spark, folder, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     asked = vectors.filter("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
     return vector.top(vector.approximate(vectors, asked))

@@ -1,6 +1,7 @@
 """All catalogue queries against their SQL, chunking properties, search, sources, sinks and streams."""
 
 import duckdb
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
@@ -141,3 +142,28 @@ print([e.queries()[n](spark, {"/root/testdata/sf0.001"!r}).count() > 0 for n in
 """
     done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=tmp_path, check=False)  # noqa: S603
     assert done.stdout.strip() == str([True] * len(names)), done.stderr[-2000:]
+
+
+def test_approximate_search_shuffles_no_vectors_and_settles_ties(spark):
+    rows = [(i, [1.0, 0.0, 0.0]) for i in range(300)] + [(i, [0.0, float(i % 7), 1.0]) for i in range(300, 600)] + [(700, None), (701, [0.0, 0.0, 0.0]), (702, [1.0]), (None, [1.0, 0.0, 0.0])]
+    vectors = spark.createDataFrame(rows, "doc_id int, embedding array<float>")
+    asked = spark.createDataFrame([(1, [2.0, 0.0, 0.0]), (2, [0.0, 7.0, 1.0]), (3, None), (4, [0.0, 0.0, 0.0])], "query_id int, embedding array<float>")
+    near = vector.approximate(vectors, asked, recall=1.0)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    want = [tuple(r) for r in vector.nearest(vectors, asked).orderBy("query_id", "rank").select("query_id", "doc_id", "rank").collect()]
+    got = [tuple(r) for r in vector.top(near).orderBy("query_id", "rank").select("query_id", "doc_id", "rank").collect()]
+    assert got == want and len(got) == 20 and [d for q, d, _ in got if q == 1] == list(range(10))
+    assert vector.approximate(vectors.limit(0), asked).count() == 0 and vector.approximate(vectors, asked.limit(0)).count() == 0
+
+
+def test_candidates_of_approximate_search_are_bounded(monkeypatch):
+    monkeypatch.setattr(vector, "HELD", 5)
+    best, scores = vector._Best(2, 3), np.round(np.random.default_rng(0).random((2, 200)), 2)
+    for at in range(0, 200, 20):
+        best.add(np.arange(2), scores[:, at : at + 20], np.arange(at, at + 20))
+        assert best.n_held <= 5 + 2 * 3
+    query, score, key = best.settle()
+    for q in range(2):
+        order = np.lexsort((np.arange(200), -scores[q]))[:3]
+        assert key[query == q].tolist() == order.tolist() and score[query == q].tolist() == scores[q, order].tolist()
