@@ -46,7 +46,7 @@ def test_html_parts(spark):
     assert [(r.alt, r.src) for r in crawl.images(p).collect()] == [("I", "https://ex.com/i.png")]
 
 
-@pytest.mark.parametrize("name", ["html_headings"])
+@pytest.mark.parametrize("name", ["html_headings", "page_title"])
 def test_references_without_semicolon_stay_as_in_sql(spark, tmp_path, name):
     import duckdb
 
