@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
+import itertools
 import re
+from collections.abc import Callable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quernal.functions.text import strip, title_case
-from quernal.session import ship
+from quernal.session import ship, unused
 
 HEADERS = ("document_title", "entity_name", "section", "item_name")
 SIZE, OVERLAP = 1500, 250
 SEPARATORS = tuple("\n\n|\n| |".split("|"))
 LEAST = 50
+#: Texts that a task holds in pieces at a time.
+SLICE = 50
 
 
 _MARK = re.compile("(#{1,4})(?: +(.*))?")
+_CHUNK = T.StructType([T.StructField("chunk_no", T.IntegerType()), T.StructField("text", T.StringType())])
 _SECTION = T.StructType([T.StructField("sid", T.LongType()), *[T.StructField(h, T.StringType()) for h in HEADERS], T.StructField("text", T.StringType())])
 
 
@@ -45,11 +50,26 @@ def split_sections(text: str) -> list[tuple]:
     return [*out, (sid, *names, "\n".join(held))]
 
 
-@F.arrow_udf(T.ArrayType(_SECTION))
-def _sections(text: pa.Array) -> pa.Array:
-    kind = pa.list_(pa.struct([("sid", pa.int64()), *[(h, pa.string()) for h in HEADERS], ("text", pa.string())]))
-    names = [f.name for f in _SECTION]
-    return pa.array([None if t is None else [dict(zip(names, s, strict=True)) for s in split_sections(t)] for t in text.to_pylist()], kind)
+def _pieces(docs: DataFrame, kept: list[str], split: Callable[[str | None], list[tuple]], added: T.StructType) -> DataFrame:
+    """kept columns and those of `added`: a row for each piece of a text.
+
+    A task holds the pieces of SLICE texts at a time, so that its memory is that of an Arrow batch of texts, however many rows the table has.
+    """
+    ship(docs.sparkSession)
+    own = list(to_arrow_schema(added))
+    schema = T.StructType([*docs.select(*kept).schema, *added])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in it:
+            for at in range(0, whole.num_rows, SLICE):
+                part = whole.slice(at, SLICE)
+                found = [split(t) for t in part.column(len(kept)).to_pylist()]
+                rows = pa.array([i for i, f in enumerate(found) for _ in f], pa.int64())
+                values = list(zip(*itertools.chain.from_iterable(found), strict=True)) or [()] * len(own)
+                columns = [*[part.column(i).take(rows) for i in range(len(kept))], *[pa.array(v, f.type) for v, f in zip(values, own, strict=True)]]
+                yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema])
+
+    return docs.select(*kept, F.col("text").cast("string").alias(unused(kept, "text"))).mapInArrow(run, schema)
 
 
 def sections(docs: DataFrame, key: str = "doc_id", rest: tuple[str, ...] = ()) -> DataFrame:
@@ -58,8 +78,7 @@ def sections(docs: DataFrame, key: str = "doc_id", rest: tuple[str, ...] = ()) -
     Sections are numbered from 0, the lines before the first header, where there are any. Hash marks inside code fences are no headers. A document
     is cut where it stands, in Arrow batches: nothing is shuffled.
     """
-    ship(docs.sparkSession)
-    return docs.select(key, *rest, F.inline(_sections(F.col("text").cast("string"))))
+    return _pieces(docs, [key, *rest], lambda t: [] if t is None else split_sections(t), _SECTION)
 
 
 def fixed(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
@@ -102,10 +121,7 @@ def split_recursive(text: str, size: int = SIZE, overlap: int = OVERLAP, separat
 
 def recursive(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """docs with chunk_no and text by recursive splits, in Arrow batches; no shuffle."""
-    ship(docs.sparkSession)
-    cut = F.pandas_udf(lambda s: pd.Series([split_recursive(x or "", size, overlap) for x in s], dtype=object), T.ArrayType(T.StringType()))
-    rest = [c for c in docs.columns if c != "text"]
-    return docs.select(*rest, F.posexplode(cut("text")).alias("chunk_no", "text"))
+    return _pieces(docs, [c for c in docs.columns if c != "text"], lambda t: list(enumerate(split_recursive(t or "", size, overlap))), _CHUNK)
 
 
 def useful(c: Column) -> Column:

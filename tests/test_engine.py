@@ -167,3 +167,15 @@ def test_candidates_of_approximate_search_are_bounded(monkeypatch):
     for q in range(2):
         order = np.lexsort((np.arange(200), -scores[q]))[:3]
         assert key[query == q].tolist() == order.tolist() and score[query == q].tolist() == scores[q, order].tolist()
+
+
+def test_pieces_are_made_slice_by_slice(spark):
+    texts = [(i, i % 7, None if i % 5 == 0 else f"a\n# H{i}\nb" * (i % 3)) for i in range(2 * chunking.SLICE + 3)]
+    docs = spark.createDataFrame(texts, "doc_id int, kind int, text string").coalesce(1)
+    found = chunking.sections(docs, rest=("kind",))
+    assert sorted((r.doc_id, r.kind, r.sid, r.text) for r in found.collect()) == sorted((i, k, s[0], s[-1]) for i, k, t in texts if t is not None for s in chunking.split_sections(t))
+    cut = chunking.recursive(docs, 8, 2)
+    assert sorted((r.doc_id, r.kind, r.chunk_no, r.text) for r in cut.collect()) == sorted((i, k, n, c) for i, k, t in texts for n, c in enumerate(chunking.split_recursive(t or "", 8, 2)))
+    for df in (found, cut):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "EvalPython" not in plan
