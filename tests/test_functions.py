@@ -92,3 +92,16 @@ def test_a_parsed_page_leaves_no_cycles_and_no_whole_batch(spark, data):
     ids = [(i, None, PAGE if i % 3 else None) for i in range(2 * html.SLICE + 3)]
     p = html.parsed(spark.createDataFrame(ids, "page_id int, url string, html string").coalesce(1))
     assert {r.page_id: r.h1 for r in p.collect()} == {i: "First" if h else None for i, _, h in ids}
+
+
+def test_slug_of_odd_texts_by_short_expressions(spark):
+    import re
+
+    given = ["", "-", " - a  -- b - ", "A\u00a0\u2003B\u3000", "x !!! y", "Ünï çode\n\t\x1c1", "--é--", "\u1680z\u2028-\u2029z\x85", "a_b.c/d", "K \u212a İ"]
+    df = spark.createDataFrame([(i, g) for i, g in enumerate([*given, None])], "i int, c string").coalesce(1)
+    out = df.select("i", F.lower("c").alias("low"), text.slug(F.col("c")).alias("slug"))
+    for r in out.collect():
+        want = None if r.low is None else re.sub("^-+|-+$", "", re.sub(f"[{re.escape(text.WHITE)}]+", "-", re.sub(f"[^a-z0-9{re.escape(text.WHITE)}-]", "", r.low)))
+        assert r.slug == want, r
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "x{2000}" not in plan and "-+$" not in plan
